@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docloom.llm import exact_dedup, language_id, mixing, packing, quality_rules, token_counts
+from docloom.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality_rules, token_counts
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_packing": packing.query,
     "op4_language_id": language_id.query,
