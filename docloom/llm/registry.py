@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality_rules, token_counts
+from docloom.llm import exact_dedup, language_id, line_dedup, mixing, near_dedup, packing, quality_rules, token_counts
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.query,
     "op4_language_id": language_id.query,
     "op6_token_counts": token_counts.query,
+    "op7_line_dedup": line_dedup.query,
     "op8_quality_rules": quality_rules.query,
     "op10_mixing": mixing.query,
 }
