@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import exact_dedup, language_id, line_dedup, mixing, near_dedup, packing, quality_rules, token_counts
+from docloom.llm import exact_dedup, language_id, line_dedup, mixing, near_dedup, packing, quality_rules, substring_dedup, token_counts
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_token_counts": token_counts.query,
     "op7_line_dedup": line_dedup.query,
     "op8_quality_rules": quality_rules.query,
+    "op9_substring_dedup": substring_dedup.query,
     "op10_mixing": mixing.query,
 }
 SQL = {
