@@ -200,3 +200,17 @@ def identify(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
+
+
+def accepted(docs: DataFrame, params: Params = Params()) -> DataFrame:
+    """The rows of docs that identify() would not reject, all columns as they are. One scan, no shuffle."""
+    model = fit(docs, params)
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            p = model.scores(texts) if model else np.full((len(texts), 1), np.nan)
+            keep = [bool(x == x and x >= model.threshold) for x in p.max(1).tolist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
