@@ -33,8 +33,9 @@ class Params:
     buckets: int = 1 << 16
     dim: int = 16
     epochs: int = 5
+    #: A small sample is gone over more often, to so many steps.
+    least_steps: int = 6000
     rate: float = 0.5
-    batch: int = 16
     seed: int = 4
     #: The share of rightly predicted calibration rows that may be rejected.
     rejected_right: float = 0.0005
@@ -113,8 +114,9 @@ def train(texts: list[str], langs: list[str], params: Params = Params()) -> Mode
     fit = order[len(order) // 5 :] if len(order) >= 50 else order
     table_ = rng.normal(0, 1 / params.dim, (params.buckets, params.dim)).astype(np.float32)
     layer, bias = np.zeros((params.dim, len(names)), np.float32), np.zeros(len(names), np.float32)
-    steps, done = params.epochs * len(fit), 0
-    for _ in range(params.epochs):
+    epochs = max(params.epochs, -(-params.least_steps // max(1, len(fit))))
+    steps, done = epochs * len(fit), 0
+    for _ in range(epochs):
         for k in rng.permutation(fit):
             ids, w = bags[k]
             rate = params.rate * (1 - done / steps)

@@ -60,8 +60,8 @@ def templates(lines: DataFrame, similarity: float = SIMILARITY, rounds: int = RO
     return staged(done.select("line", "n", "template").join(found, "template"))
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs (doc_id, text and any others) with text lacking recurring lines, n_lines (with a token) and n_dropped.
+def report(docs: DataFrame, **options) -> DataFrame:
+    """row (struct of all of docs' columns), text (without recurring lines), n_lines (with a token) and n_dropped for each row of docs (doc_id, text and any others).
 
     Lines end at \\n; white space at their ends and between tokens doesn't count. A
     template in several documents (by doc_id) keeps all its lines in the document of
@@ -73,19 +73,24 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     keep = {k: v for k, v in options.items() if k in ("similarity", "rounds")}
     lines = staged(parsed(docs.filter("doc_id is not null and text is not null").select("doc_id", "text"), **{k: v for k, v in options.items() if k not in keep}))
     found = templates(lines, **keep)
-    # a line's hash may be in several rows of one document; a row of the document's own dropped positions
+    # a line's hash is in one row each of line and leaf; lines under one template share its first document
     recurring = found.groupBy("line").agg(F.max("n").alias("n"), F.min("first").alias("first"))
     drop = join_by_key(lines.select("doc_id", "pos", "line"), staged(recurring), "line", "n").filter("first is not null and first <> doc_id")
     drop = drop.groupBy("doc_id").agg(F.collect_set("pos").alias("_drop"))
-    parts = F.split("text", "\n")
+    out = docs.select(F.col("doc_id"), F.struct(*docs.columns).alias("row")).join(drop, "doc_id", "left")
+    parts = F.split("row.text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop"))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    n = F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0))
-    out = docs.join(drop, "doc_id", "left")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return out.select("doc_id", text.alias("text"), *rest, F.when(F.col("text").isNull(), 0).otherwise(n).alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).alias("n_dropped"))
+    text = F.when(F.col("_drop").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    n = F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    return out.select("row", text.alias("text"), F.when(F.col("row.text").isNull(), 0).otherwise(n).alias("n_lines"), F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).alias("n_dropped"))
+
+
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """docs, all rows and columns, with text as report() leaves it."""
+    out = report(docs, **options)
+    return out.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
-    return found.select("doc_id", "n_lines", F.greatest("n_dropped", F.lit(0)).alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    found = report(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

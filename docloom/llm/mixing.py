@@ -34,7 +34,7 @@ def targets(sizes: dict, weights: dict, total: float, limit: float = 3.0) -> dic
             out |= {s: left * weights[s] / weight for s in open_}
             break
         for s in over:
-            out[s] = limit * sizes[s]
+            out[s] = float(limit * sizes[s])
         left -= sum(out[s] for s in over)
         open_ -= over
     return {s: out.get(s, 0.0) for s in sizes}
@@ -95,6 +95,35 @@ def flow(patterns: dict[tuple, int], quotas: dict, repeats: int = 3) -> dict[tup
     return {k: x[3][1] for k, x in links.items() if x[3][1] > 0}
 
 
+def nearest_sum(sizes: list[int], need: int, window: int = 24) -> list[bool]:
+    """Which of sizes to take so that they sum to about need.
+
+    In their order all are taken, until the next window of them holds about twice
+    what is still needed; of that window the subset is taken whose sum is nearest,
+    found by all sums that are possible (a bit each). Later ones are left.
+    """
+    at = 0
+    while at + window < len(sizes) and need >= sizes[at] and 2 * need > sum(sizes[at : at + window]):
+        need -= sizes[at]
+        at += 1
+    part = sizes[at : at + window]
+    sums = [1]
+    for n in part:
+        sums.append(sums[-1] | sums[-1] << n)
+    low = sums[-1] & ((1 << need + 1) - 1)
+    best = low.bit_length() - 1
+    high = sums[-1] >> need + 1
+    if high and (high & -high).bit_length() < need - best:
+        best = need + (high & -high).bit_length()
+    chosen = []
+    for n, before in zip(part[::-1], sums[-2::-1]):
+        # left out where the sums before reach it without
+        skip = best >= 0 and before >> best & 1
+        chosen.append(not skip)
+        best -= 0 if skip else n
+    return [True] * at + chosen[::-1] + [False] * (len(sizes) - at - len(part))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, membership: str | None = None, repeats: int = 3, seed: int = SEED) -> DataFrame:
     """docs (doc_id, text and others) with size, sources (array), source_size, target, copies and taken (copies * size).
 
@@ -104,9 +133,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, membership: str | N
     source's size). For a document in several sources, source_size and target are
     those of the first. Each pattern's words are taken in whole rounds of all its
     documents, then by seeded hash: ranges of the hash with about SUBSETS documents
-    each are taken whole while they fit, and in the first that doesn't, each document
-    that still brings the total nearer. So at most that range's last document parts a
-    source from its target. Rows of size 0 are taken 0 times; equal rows have equal
+    each are taken whole while they fit, and in the first that doesn't, the documents
+    that nearest_sum() chooses. Rows of size 0 are taken 0 times; equal rows have equal
     hashes and are told apart by nothing else. Only sums by pattern and by hash range
     (of size: documents / SUBSETS) reach the driver in total for the ranges' pattern.
     """
@@ -137,11 +165,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, membership: str | N
 
     def choose(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["h", "doc_id"], kind="stable")
-        need, chosen = int(part["need"].iloc[0]), []
-        for n in part["size"]:
-            chosen.append(n > 0 and abs(need - n) < abs(need))
-            need -= n if chosen[-1] else 0
-        return part.drop(columns="need").assign(extra=chosen)
+        return part.drop(columns="need").assign(extra=nearest_sum(part["size"].tolist(), int(part["need"].iloc[0])))
 
     kept = ["doc_id", "size", "pattern", "h", "rounds", "rest", "source_size", "target"]
     at_edge = F.coalesce(F.col("range") == F.col("edge"), F.lit(False))
@@ -155,9 +179,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, membership: str | N
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken, with docs' columns. Ties: rows of equal doc_id are taken alike."""
-    copies = mix(docs, **options).filter(F.col("copies") > 0).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    """The mix itself: the rows of docs, each as often as it is taken, with docs' columns. Rows of equal doc_id are taken alike, as often as the most of them; null is such a doc_id too."""
+    copies = mix(docs, **options).filter(F.col("copies") > 0).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    found = rows.join(copies, F.col("row.doc_id").eqNullSafe(F.col("id")))
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

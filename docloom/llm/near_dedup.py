@@ -218,6 +218,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that near_classes() keeps, one for each doc_id."""
-    kept = near_classes(docs, **options).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The rows of docs that near_classes() keeps, one for each doc_id. Rows without doc_id can't be named in a class: they stay."""
+    named = docs.filter("doc_id is not null")
+    kept = near_classes(named, **options).filter("kept").select("doc_id").distinct()
+    found = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return found.unionByName(docs.filter("doc_id is null"))

@@ -105,6 +105,8 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
                 yield out({"file": [name] * len(names), "doc_id": names, "start": starts, "n_tokens": lengths, "ids_crc32": crcs})
 
+    if manifest.isEmpty():  # there is no folder then
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder)
     found = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(run, READ)
     # running sums over files: a row for each file_tokens ids
