@@ -28,7 +28,7 @@ def context_recall(retrieved: Column, support: Column) -> Column:
 
 def claims(answer: Column, citation_claims: Column, insufficient: Column) -> Column:
     """The citations' claims; without any, the answer's sentences; of a refusal none."""
-    clean = lambda a: F.array_distinct(F.filter(F.transform(a, F.trim), lambda c: c != ""))
+    clean = lambda a: F.array_distinct(F.filter(F.transform(a, lambda c: F.trim(c)), lambda c: c != ""))
     cited = clean(citation_claims)
     none = F.array().cast("array<string>")
     return F.when(insufficient, none).when(F.size(cited) > 0, cited).otherwise(clean(F.split(F.trim(answer), r"(?<=[.!?])\s+")))

@@ -9,7 +9,11 @@ from docloom.config import DOMAINS
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one with texts that is read in fewer tasks than half the cores is dealt out to all of them."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    keys = {"documents": "doc_id", "pages": "page_id"}
+    return rows.repartition(cores, keys[name]) if name in keys and 2 * rows.rdd.getNumPartitions() <= cores else rows
 
 
 def domain(key: str) -> Column:
