@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +33,7 @@ def _byte_letters() -> str:
 
 
 _LETTERS = _byte_letters()
+_MARKS = {",", ".", ";", ":", "!", "?"}
 
 
 class Encoder:
@@ -41,7 +43,7 @@ class Encoder:
     WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     BYTES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -60,31 +62,47 @@ class Encoder:
 
     def pre_token(self, p: str) -> bytes:
         letters = p if p.isascii() and p.isalpha() else p.encode().decode("latin-1").translate(_LETTERS)
-        return np.array([t.id for t in self.merge(letters)], np.uint32).tobytes()
-
-    def learn(self, chunks: set[str]) -> None:
-        new = chunks.difference(self.known)
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = chunks
+        return array("I", [t.id for t in self.merge(letters)]).tobytes()
+
+    def cut_chunk(self, c: str) -> list[str] | tuple[str, ...]:
+        """The chunk's pre-tokens; letters alone, or before one mark, need no pattern."""
+        body = c[1:] if c[0] == " " else c
+        if body.isalpha():
+            return (c,)
+        if body[-1:] in _MARKS and body[:-1].isalpha():
+            return c[:-1], c[-1]
+        return self.pre_tokens(c)
+
+    def learn(self, chunks: list[str]) -> None:
         parts, known = self.parts, self.known
         if len(parts) > self.limit:
             parts.clear()
-        for c in new:
-            ids = b""
-            for p in self.pre_tokens(c.lower() if self.by_words else c):
+        for c in chunks:
+            if c in known:
+                continue
+            found = []
+            for p in self.cut_chunk(c.lower() if self.by_words else c):
                 x = parts.get(p)
                 if x is None:
                     x = parts[p] = self.pre_token(p)
-                ids += x
-            known[c] = ids
+                found.append(x)
+            known[c] = found[0] if len(found) == 1 else b"".join(found)
+
+    def encode_one(self, text: str) -> bytes:
+        chunks = self.chunks(text)
+        if chunks is None:
+            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self.known) > self.limit:
+            self.known.clear()
+        ids = list(map(self.known.get, chunks))
+        if None in ids:
+            self.learn([c for c, x in zip(chunks, ids) if x is None])
+            ids = map(self.known.__getitem__, chunks)
+        return b"".join(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.chunks(t) for t in texts]
-        self.learn(set().union(*(c for c in cut if c is not None)))
-        get = self.known.__getitem__
-        return [np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+        return list(map(self.encode_one, texts))
 
 
 class WholeTokenCounter:
@@ -102,30 +120,37 @@ class WholeTokenCounter:
         self.counts: dict[str, int] = {}
         self.limit = limit
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         counts, parts, e = self.counts, self.parts, self.encoder
-        new = words.difference(counts)
-        if len(counts) + len(new) > self.limit:
-            counts.clear()
-            new = words
         if len(parts) > self.limit + self.whole:
             self.parts = parts = dict(list(parts.items())[: self.whole])
-        for w in new:
+        for w in words:
+            if w in counts:
+                continue
             low = w.lower()
             n = parts.get(low, 0)
             if not n:
-                for p in e.pre_tokens(low):
+                for p in e.cut_chunk(low):
                     k = parts.get(p)
                     if k is None:
                         k = parts[p] = len(e.pre_token(p)) // 4
                     n += k
             counts[w] = n
 
+    def count_one(self, text: str) -> int:
+        words = self.encoder.chunks(text)
+        if words is None:
+            return len(self.encoder.tok.encode(text, add_special_tokens=False).ids)
+        if len(self.counts) > self.limit:
+            self.counts.clear()
+        n = list(map(self.counts.get, words))
+        if None in n:
+            self.learn([w for w, x in zip(words, n) if x is None])
+            n = map(self.counts.__getitem__, words)
+        return sum(n)
+
     def count(self, texts: list[str]) -> list[int]:
-        cut = [self.encoder.chunks(t) for t in texts]
-        self.learn(set().union(*(c for c in cut if c is not None)))
-        get = self.counts.__getitem__
-        return [len(self.encoder.tok.encode(t, add_special_tokens=False).ids) if c is None else sum(map(get, c)) for t, c in zip(texts, cut)]
+        return list(map(self.count_one, texts))
 
 
 @lru_cache(2)
