@@ -24,7 +24,10 @@ MAX_HOT = 1000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table documents; one that is read in fewer tasks than half the cores is dealt out to all of them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if 2 * docs.rdd.getNumPartitions() <= cores else docs
 
 
 def work_dir(spark: SparkSession) -> str:
