@@ -107,8 +107,8 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, set_id (128-bit hash of the shingle set), bands (array; none for a text without words)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("set_id", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, set_id (128-bit hash of the shingle set), size (shingles), bands (array; none for a text without words)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("set_id", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -125,10 +125,10 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 starts = np.concatenate([[0], np.cumsum([len(s) for s in part])])
                 b = band_hashes(dart_signatures(np.concatenate(part), None, starts, bands * rows), bands, rows)
                 lists = [x.tolist() if len(s) else [] for x, s in zip(b, part)]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in part], pa.binary()), pa.array(lists, schema.field("bands").type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in part], pa.binary()), pa.array([len(s) for s in part], pa.int64()), pa.array(lists, schema.field("bands").type)], schema=schema)
                 i = j
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id binary, size long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -167,7 +167,65 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(b, "b").hint("merge").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def near_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def block_links(xs: list[np.ndarray], ys: list[np.ndarray], x_labels: np.ndarray, y_labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """(x, y) of sets of different labels that are similar enough, one for each y and label: shared elements are counted by an index of all xs."""
+    flat = np.concatenate(xs)
+    owner = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    sizes = np.array([len(x) for x in xs], np.int64)
+    out = []
+    for j, y in enumerate(ys):
+        low, high = np.searchsorted(flat, y, "left"), np.searchsorted(flat, y, "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        common = np.bincount(owner[at], minlength=len(xs))
+        hit = (common * 1_000_000 >= round(similarity * 1_000_000) * (sizes + len(y) - common)) & (x_labels != y_labels[j])
+        hit = np.flatnonzero(hit)
+        _, first = np.unique(x_labels[hit], return_index=True)
+        out += [(int(hit[i]), j) for i in first]
+    return out
+
+
+def remaining_links(rest: DataFrame, sets: DataFrame, similarity: float, x_block: int = 2_000_000, y_block: int = 1_000_000) -> DataFrame:
+    """Links (a, b) between different classes within buckets: rest has band, node, label, size.
+
+    The class that most of a bucket has is known to be one; so only the bucket's other
+    documents are held against all of it. Both are dealt into blocks of about so many
+    shingles, and each pair of blocks is a task's work: never a row for each pair.
+    """
+    most = rest.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    rows = rest.join(most, "band").withColumn("y", F.col("label") != F.col("main"))
+    sums = rows.groupBy("band").agg(F.sum("size").alias("sx"), F.sum(F.when(F.col("y"), F.col("size")).otherwise(0)).alias("sy"))
+    sums = sums.select("band", F.ceil(F.col("sx") / x_block).cast("int").alias("nx"), F.greatest(F.lit(1), F.ceil(F.col("sy") / y_block).cast("int")).alias("ny"))
+    rows = rows.join(sums, "band")
+    deal = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    xs = rows.select("band", "node", "label", deal("nx", 1).alias("i"), all_("ny").alias("j"), F.lit(False).alias("y"))
+    ys = rows.filter("y").select("band", "node", "label", all_("nx").alias("i"), deal("ny", 2).alias("j"), F.lit(True).alias("y"))
+    both = xs.unionByName(ys).join(sets, "node")
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        side = part.column("y").to_numpy()
+        nodes, labels = part.column("node").to_numpy(), part.column("label").to_numpy()
+        found = [np.frombuffer(b, np.uint64) for b in part.column("shingles").to_pylist()]
+        x, y = np.flatnonzero(~side), np.flatnonzero(side)
+        links = block_links([found[k] for k in x], [found[k] for k in y], labels[x], labels[y], similarity) if len(x) and len(y) else []
+        return pa.table({"a": pa.array([int(nodes[x[i]]) for i, _ in links], pa.int64()), "b": pa.array([int(nodes[y[j]]) for _, j in links], pa.int64())})
+
+    return both.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) of components after more links between them."""
+    side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"r{c}"))
+    between = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    up = components(between)
+    old = labels.join(up.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    return staged(old.unionByName(up.join(labels.select("node"), "node", "left_anti").select("node", "label")))
+
+
+def near_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, firsts: int = 2) -> DataFrame:
     """doc_id, class_id, kept for each row of docs (doc_id, text, others unread).
 
     Documents are linked if the sets of their words-word shingles have a Jaccard
@@ -179,35 +237,36 @@ def near_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     row without doc_id gets the class of equal sets, or null if it has no other.
 
     Documents of equal sets are one from the start. In each band bucket all are held
-    against the bucket's smallest, then, while a bucket still has several classes,
-    against more of its documents (4, 16, ...): never all pairs, yet every pair of
-    different classes in the end. Verification is exact on all shingles.
+    against the bucket's smallest, then, where several classes are left, against a few
+    more of its smallest, and at last those outside the bucket's main class against
+    all of it, in blocks. So no pair of different classes in a bucket stays untried,
+    and verification is exact on all shingles.
     """
     signs = staged(signed(docs, words, bands, rows))
-    groups = staged(signs.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min_by("bands", "doc_id").alias("bands")))
-    at = groups.filter(F.col("rep").isNotNull()).select(F.explode("bands").alias("band"), F.col("rep").alias("node"))
+    groups = staged(signs.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.min_by("bands", "doc_id").alias("bands")))
+    at = groups.filter(F.col("rep").isNotNull()).select(F.explode("bands").alias("band"), F.col("rep").alias("node"), "size")
     full = at.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
-    members = staged(join_by_key(at, staged(full), "band", "n").filter("n is not null").select("band", "node", "first"))
+    members = staged(join_by_key(at, staged(full), "band", "n").filter("n is not null").select("band", "node", "size", "first"))
     nodes = members.select(F.col("node").alias("doc_id")).distinct()
     sets = staged(shingle_sets(docs.join(nodes, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), words))
     pairs = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = staged(verified(pairs, sets, similarity))
-    labels = components(links)
-    last, many = members.groupBy("band").agg(F.min("first").alias("last")), 4
-    while True:
-        # buckets whose documents after the last one held against all are of several classes
-        known = members.select("band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        rest = known.join(last, "band").filter("node > last")
-        mixed = rest.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
-        rest = staged(rest.join(mixed, "band", "left_semi"))
-        if rest.isEmpty():
-            break
+    labels = components(staged(verified(pairs, sets, similarity)))
+
+    def undecided(last: DataFrame) -> DataFrame:
+        """Members of buckets that have several classes among the documents after the last one that was held against all."""
+        known = members.select("band", "node", "size").join(last, "band").filter("node > last").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = known.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
+        return staged(known.join(mixed, "band", "left_semi"))
+
+    rest = undecided(members.groupBy("band").agg(F.min("first").alias("last")))
+    if not rest.isEmpty():
         order = F.row_number().over(Window.partitionBy("band").orderBy("node"))
-        firsts = staged(rest.withColumn("order", order).filter(F.col("order") <= many).select("band", F.col("node").alias("a"), F.col("label").alias("la")))
-        pairs = rest.join(firsts, "band").filter("node > a and label <> la").select("a", F.col("node").alias("b")).distinct()
-        links = staged(links.unionByName(verified(pairs, sets, similarity)))
-        labels = components(links)
-        last, many = firsts.groupBy("band").agg(F.max("a").alias("last")), many * 4
+        heads = staged(rest.withColumn("order", order).filter(F.col("order") <= firsts).select("band", F.col("node").alias("a"), F.col("label").alias("la")))
+        pairs = rest.join(heads, "band").filter("node > a and label <> la").select("a", F.col("node").alias("b")).distinct()
+        labels = merged(labels, staged(verified(pairs, sets, similarity)))
+        rest = undecided(heads.groupBy("band").agg(F.max("a").alias("last")))
+        if not rest.isEmpty():
+            labels = merged(labels, staged(remaining_links(rest, sets, similarity)))
     classes = groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", "n", F.coalesce("label", "rep").alias("class_id"))
     found = join_by_key(signs.select("doc_id", "set_id"), staged(classes), "set_id", "n")
     return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
