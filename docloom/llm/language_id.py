@@ -104,10 +104,11 @@ def train(texts: list[str], langs: list[str], params: Params = Params()) -> Mode
         grams = []
         for w in tokens(t):
             if w not in memory:
-                memory[w] = subwords(w, params.buckets)
-            grams += memory[w]
-        ids, n = np.unique(np.array(grams, np.int64), return_counts=True)
+                memory[w] = np.array(subwords(w, params.buckets), np.int32)
+            grams.append(memory[w])
+        ids, n = np.unique(np.concatenate(grams) if grams else np.empty(0, np.int32), return_counts=True)
         bags.append((ids, (n / max(1, n.sum())).astype(np.float32)))
+    memory.clear()
     used = np.array([k for k, b in enumerate(bags) if len(b[0])], np.int64)
     order = rng.permutation(used)
     held = order[: len(order) // 5] if len(order) >= 50 else order
