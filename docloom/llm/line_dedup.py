@@ -4,14 +4,16 @@ A line is parsed to a fixed depth: its number of tokens, then its leading tokens
 tokens with a digit standing for any such token. A leaf of this tree holds lines that
 agree so far. In a leaf the most common line is a template; lines that agree with it
 in enough positions belong to it, and the other positions become its variable fields.
-Lines that match none so far try the next most common line, and a line left over at
-the end is a template by itself. A template found in several documents is recurring
+Lines that match none so far try the next most common line, until no two lines of the
+leaf that are left could agree; each of those is a template by itself. A template found in several documents is recurring
 and stays in the first of them only. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import SPACE, documents, join_by_key, staged
@@ -40,22 +42,81 @@ def parsed(docs: DataFrame, leading: int = LEADING, least_tokens: int = LEAST_TO
     )
 
 
-def templates(lines: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
-    """line, n (its rows), template and first (its smallest doc_id), for lines whose template is in two documents or more."""
+def _same(a: Column, b: Column) -> Column:
+    """Positions that agree; lines of a leaf have equally many tokens."""
+    return F.size(F.filter(F.sequence(F.lit(1), F.length(a)), lambda i: F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))))
+
+
+def _buckets(free: DataFrame, similarity: float, leading: int) -> DataFrame:
+    """key, line and n: lines of a leaf that agree share a key. With at most m positions apart, one of m + 1 blocks is the same; keys of a single line are left out."""
+    size = F.length("code")
+    apart = size - F.ceil(F.lit(similarity) * size).cast("int")
+    rows = free.select("leaf", "line", "n", "code", (apart + 1).alias("parts"), F.explode(F.sequence(F.lit(0), apart)).alias("part"))
+    at = lambda part: F.floor(part * F.greatest(F.length("code") - leading, F.lit(0)) / F.col("parts")).cast("int")
+    block = F.substring(F.col("code"), at(F.col("part")) + leading + 1, at(F.col("part") + 1) - at(F.col("part")))
+    rows = staged(rows.select(F.xxhash64("leaf", "part", block).alias("key"), "line", "n"))
+    return staged(rows.join(rows.groupBy("key").count().filter("count > 1").select("key"), "key", "left_semi"))
+
+
+def _searched(free: DataFrame, similarity: float, leading: int) -> DataFrame:
+    """line and template of each of free's lines that belongs to another one: what trying all heads of a leaf in turn, the commonest first, comes to.
+
+    A line is a head if no commoner line it agrees with is one. In each round the
+    first lines of every bucket are held against the rest; a line is settled once it is
+    among the first in all its buckets and has no open line before it. The rounds hold
+    more lines each time, and end when no line is open.
+    """
+    buckets, codes = _buckets(free, similarity, leading), free.select("line", "code")
+    pair = lambda a, b: F.struct(F.col(f"{a}.n"), F.col(f"{a}.line")) > F.struct(F.col(f"{b}.n"), F.col(f"{b}.line"))
+
+    def agreeing(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(codes.withColumnsRenamed({"line": "lo", "code": "a"}), "lo").join(codes.withColumnsRenamed({"line": "hi", "code": "b"}), "hi")
+        return both.filter(_same(F.col("a"), F.col("b")) >= similarity * F.length("a")).drop("a", "b")
+
+    heads, open_, first = None, buckets, 8
+    while not open_.isEmpty():
+        ranked = staged(open_.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), F.desc("line")))))
+        before = ranked.filter(F.col("r") <= first).select("key", F.col("line").alias("hi"), F.col("r").alias("hi_r"))
+        pairs = ranked.join(before, "key").filter("hi_r < r").select(F.col("line").alias("lo"), "hi")
+        pairs = staged(agreeing(pairs))
+        lines = ranked.groupBy("line").agg(F.max("n").alias("n"), F.max("r").alias("r")).filter(F.col("r") <= first).select("line", "n")
+        new = staged(lines.join(pairs.select(F.col("lo").alias("line")), "line", "left_anti"))
+        heads = new if heads is None else heads.unionByName(new)
+        done = new.select("line").unionByName(pairs.join(new.select(F.col("line").alias("hi")), "hi", "left_semi").select(F.col("lo").alias("line")))
+        open_ = staged(open_.join(done.distinct(), "line", "left_anti"))
+        first *= 8
+    if heads is None:
+        return free.select("line", F.col("line").alias("template")).limit(0)
+    heads = buckets.join(heads.select("line"), "line", "left_semi")
+    rest = buckets.join(heads.select("line").distinct(), "line", "left_anti")
+    pairs = rest.alias("lo").join(heads.alias("hi"), F.col("lo.key") == F.col("hi.key")).filter(pair("hi", "lo"))
+    found = agreeing(pairs.select(F.col("lo.line").alias("lo"), F.col("hi.line").alias("hi"), F.col("hi.n").alias("n")))
+    return staged(found.groupBy(F.col("lo").alias("line")).agg(F.max_by("hi", F.struct("n", "hi")).alias("template")))
+
+
+def templates(lines: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS, leading: int = LEADING) -> DataFrame:
+    """line, n (its rows), template and first (its smallest doc_id), for lines whose template is in two documents or more.
+
+    In so many rounds each leaf's commonest line is held against all of the leaf; what
+    is left after them is searched to the end by _searched().
+    """
     distinct = staged(lines.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("code").alias("code")))
-    open_ = distinct.filter("code is not null").withColumn("template", F.lit(None).cast("long"))
+    coded = distinct.filter("code is not null")
+    shared = coded.groupBy("leaf").count().filter("count > 1").select("leaf")
+    open_ = staged(coded.join(shared, "leaf", "left_semi").select("leaf", "line", "n", "code"))
+    known = []
     for _ in range(rounds):
-        free = F.col("template").isNull()
-        heads = open_.filter(free).groupBy("leaf").agg(F.max_by(F.struct("line", "code"), F.struct("n", "line")).alias("head"), F.count(F.lit(1)).alias("k"))
+        heads = open_.groupBy("leaf").agg(F.max_by(F.struct("line", "code"), F.struct("n", "line")).alias("head"), F.count(F.lit(1)).alias("k"))
         heads = heads.filter("k > 1").select("leaf", F.col("head.line").alias("head"), F.col("head.code").alias("head_code"))
-        tried = open_.join(heads, "leaf", "left")
-        size = F.length("code")
-        # positions that agree; lines of a leaf have equally many tokens
-        same = F.size(F.filter(F.sequence(F.lit(1), size), lambda i: F.substring(F.col("code"), i, F.lit(1)) == F.substring(F.col("head_code"), i, F.lit(1))))
-        fits = free & F.col("head").isNotNull() & ((F.col("line") == F.col("head")) | (same >= similarity * size))
-        open_ = staged(tried.withColumn("template", F.when(fits, F.col("head")).otherwise(F.col("template"))).select(*open_.columns))
-    done = open_.unionByName(distinct.filter("code is null").withColumn("template", F.lit(None).cast("long")))
-    done = done.withColumn("template", F.coalesce("template", "line"))
+        # a line that is alone in its leaf is a template by itself
+        tried = open_.join(heads, "leaf")
+        fits = (F.col("line") == F.col("head")) | (_same(F.col("code"), F.col("head_code")) >= similarity * F.length("code"))
+        tried = staged(tried.withColumn("template", F.when(fits, F.col("head"))).drop("head", "head_code"))
+        known.append(tried.filter("template is not null").select("line", "template"))
+        open_ = tried.filter("template is null").drop("template")
+    known.append(_searched(open_, similarity, leading))
+    of = reduce(DataFrame.unionByName, known)
+    done = distinct.select("line", "n", "low", "high").join(of, "line", "left").withColumn("template", F.coalesce("template", "line"))
     found = done.groupBy("template").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first <> last").drop("last")
     return staged(done.select("line", "n", "template").join(found, "template"))
 
@@ -70,8 +131,8 @@ def report(docs: DataFrame, **options) -> DataFrame:
     text stays empty. Rows that repeat a doc_id count as one document and lose the
     same positions; rows without doc_id lose nothing and make no line recurring.
     """
-    keep = {k: v for k, v in options.items() if k in ("similarity", "rounds")}
-    lines = staged(parsed(docs.filter("doc_id is not null and text is not null").select("doc_id", "text"), **{k: v for k, v in options.items() if k not in keep}))
+    keep = {k: v for k, v in options.items() if k in ("similarity", "rounds", "leading")}
+    lines = staged(parsed(docs.filter("doc_id is not null and text is not null").select("doc_id", "text"), **{k: v for k, v in options.items() if k not in ("similarity", "rounds")}))
     found = templates(lines, **keep)
     # a line's hash is in one row each of line and leaf; lines under one template share its first document
     recurring = found.groupBy("line").agg(F.max("n").alias("n"), F.min("first").alias("first"))

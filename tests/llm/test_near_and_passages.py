@@ -197,3 +197,41 @@ def test_exactly_repeated_lines_go(spark, sf_dir):
             first.setdefault(mask(line), d)
     got = {r.doc_id: r.text for r in line_dedup.deduplicated(documents(spark, sf_dir), least_tokens=10**6).collect()}
     assert got == {d: "\n".join(x for x in t.split("\n") if not mask(x) or first[mask(x)] == d) for d, t in texts.items()}
+
+
+def brute_templates(rows, similarity=0.8):
+    """line: template and first, trying all heads of a leaf in turn, the commonest first."""
+    docs, about = {}, {}
+    for r in rows:
+        docs.setdefault(r.line, []).append(r.doc_id)
+        about[r.line] = (r.leaf, r.code)
+    of, heads = {}, {}
+    for line in sorted(about, key=lambda x: (len(docs[x]), x), reverse=True):
+        leaf, code = about[line]
+        known = heads.setdefault(leaf, [])
+        fits = [h for h in known if code and sum(map(str.__eq__, about[h][1], code)) >= similarity * len(code)]
+        of[line] = fits[0] if fits else line
+        if not fits:
+            known.append(line)
+    found = {}
+    for line, t in of.items():
+        found.setdefault(t, set()).update(docs[line])
+    return {line: (t, min(found[t])) for line, t in of.items() if len(found[t]) > 1}
+
+
+def test_all_templates_of_a_leaf_are_tried(spark):
+    rng = random.Random(7)
+    texts = []
+    for size in (8, 11, 25):
+        shared = words(rng, 3)
+        bases = [shared + words(rng, size - 3) for _ in range(12)]
+        bases += [b[: size // 2] + words(rng, size - size // 2) for b in bases[:4]]  # a half alike: same blocks, no match
+        for b in bases * 5:
+            line = list(b)
+            for i in rng.sample(range(3, size), rng.randint(0, max(1, size // 6))):
+                line[i] = words(rng, 1)[0]
+            texts.append((len(texts), " ".join(line)))
+    lines = line_dedup.parsed(frame(spark, texts, False))
+    want = brute_templates(lines.collect())
+    got = {r.line: (r.template, r["first"]) for r in line_dedup.templates(lines).collect()}
+    assert len({t for t, _ in want.values()}) >= 36 and got == want
