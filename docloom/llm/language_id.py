@@ -24,6 +24,8 @@ from docloom.llm.common import column, documents, slices, table
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 _STRIP = re.compile(r"[\W\d_]+")
+#: The longest run of letters that is one word; longer ones (text without spaces) are cut.
+RUN = 64
 
 
 @dataclass(frozen=True)
@@ -44,15 +46,23 @@ class Params:
 
 
 def subwords(word: str, buckets: int) -> list[int]:
-    """Buckets of a word's n-grams of 1 to 4 characters, with its borders, and of the word itself."""
-    w = f"<{word[:64]}>"
+    """Buckets of a word's n-grams of 1 to 4 characters, with its borders, and of the word itself; RUN bounds how long words are."""
+    w = f"<{word}>"
     grams = {w} | {w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)} - {"<", ">"}
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in sorted(grams)]
 
 
 def tokens(text: str) -> list[str]:
-    """Lower-case words without what isn't a letter."""
-    return [x for w in text.lower().split() if (x := w if w.isalpha() else _STRIP.sub("", w))]
+    """Lower-case words: runs of letters. A run over RUN letters comes in chunks of RUN that share 3 letters, so that no n-gram is lost."""
+    out = []
+    for w in text.lower().split():
+        if len(w) <= RUN and w.isalpha():
+            out.append(w)
+        else:
+            for x in _STRIP.split(w):
+                # a last chunk of 3 letters or less is in the one before
+                out.extend([x[i : i + RUN] for i in range(0, len(x) - 3, RUN - 3)] if len(x) > RUN else [x] if x else [])
+    return out
 
 
 class Model:

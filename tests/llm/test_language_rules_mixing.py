@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -31,6 +32,25 @@ def test_language_of_odd_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()}.isdisjoint({9, 4, 7, 20})
 
 
+@pytest.mark.parametrize("n", [1, 4, 64, 65, 67, 125, 126, 1000])
+def test_every_letter_of_an_unspaced_text_counts(n):
+    rng = random.Random(n)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    grams = lambda x: {x[i : i + k] for k in (1, 2, 3, 4) for i in range(len(x) - k + 1)}
+    words = language_id.tokens(text)
+    assert set().union(*map(grams, words)) == grams(text) and max(map(len, words)) <= 64
+    assert {zlib.crc32(g.encode()) % 65536 for g in grams(text)} <= {b for w in words for b in language_id.subwords(w, 65536)}
+    assert language_id.tokens("One,two/three_four 5six7 --") == ["one", "two", "three", "four", "six"]
+
+
+def test_unspaced_text_is_read_to_its_end():
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice(c) for _ in range(5)) for _ in range(20)) for c in ("abcd", "wxyz") * 40]
+    model = language_id.train(texts, ["a", "w"] * 40)
+    text = "".join(rng.choice("abcd") for _ in range(70)) + "".join(rng.choice("wxyz") for _ in range(700))
+    assert model.scores([text])[0].argmax() == 1
+
+
 def brute_rules(text):
     w = split_words(text or "")
     grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
