@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,19 +12,27 @@ from docloom.functions.vectors import dot, norm
 from docloom.operators.corpus import require_none
 from docloom.operators.sparse import top_k
 
-#: Queries are broadcast in blocks of at most so many.
+#: Queries are broadcast in blocks of about so many.
 MAX_QUERIES = 1000
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", same: str | None = None) -> DataFrame:
     """query_id, key, score, rank: the k most similar vectors (key, vector) of each query (query_id, vector); same: a column in which both must agree.
 
-    A block of queries at a time is held against every vector where the vector lies;
-    each task keeps its own k best before anything is shuffled (a window's group
-    limit). Norms are computed once a row. Raises above MAX_QUERIES: pass blocks.
+    A block of about MAX_QUERIES queries at a time is held against every vector where
+    the vector lies; each task keeps its own k best before anything is shuffled (a
+    window's group limit). Norms are computed once a row. Queries are dealt to blocks
+    by a hash of query_id, so rows of one query_id are in one block.
     """
-    if len(queries.select("query_id").take(MAX_QUERIES + 1)) > MAX_QUERIES:
-        raise IndexingError(f"more than {MAX_QUERIES} queries: search in blocks")
+    n = queries.count()
+    blocks = 1 if n <= MAX_QUERIES else -(-n // (MAX_QUERIES * 9 // 10))  # blocks by hash vary in size
+    if blocks == 1:
+        return _block(vectors, queries, k, key, same)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (_block(vectors, queries.filter(block == b), k, key, same) for b in range(blocks)))
+
+
+def _block(vectors: DataFrame, queries: DataFrame, k: int, key: str, same: str | None) -> DataFrame:
     v = vectors.select(F.col(key), F.col("vector").alias("v"), norm(F.col("vector")).alias("nv"), *([F.col(same).alias("_v")] if same else []))
     q = F.broadcast(queries.select("query_id", F.col("vector").alias("q"), norm(F.col("vector")).alias("nq"), *([F.col(same).alias("_q")] if same else [])))
     pairs = v.join(q, F.col("_v") == F.col("_q")) if same else v.crossJoin(q)

@@ -48,6 +48,16 @@ def test_empty_index(spark):
     assert sparse.scores(index, spark.createDataFrame([(1, "x")], "query_id int, question string")).count() == 0
 
 
+def test_dense_search_makes_blocks(spark, monkeypatch):
+    v = spark.range(1, 41).selectExpr("id AS chunk_id", "array(cos(id), sin(id)) AS vector", "id % 3 AS label")
+    q = v.withColumnRenamed("chunk_id", "query_id")
+    for same in (None, "label"):
+        whole = sorted(map(tuple, dense.search(v, q, 3, same=same).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(dense, "MAX_QUERIES", 15)
+            assert sorted(map(tuple, dense.search(v, q, 3, same=same).collect())) == whole and len({r[0] for r in whole}) == 40
+
+
 def test_dense(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0])], "chunk_id int, vector array<double>")
     q = spark.createDataFrame([(7, [1.0, 0.1])], "query_id int, vector array<double>")
