@@ -98,30 +98,34 @@ def flow(patterns: dict[tuple, int], quotas: dict, repeats: int = 3) -> dict[tup
 def nearest_sum(sizes: list[int], need: int, window: int = 24) -> list[bool]:
     """Which of sizes to take so that they sum to about need.
 
-    In their order all are taken, until the next window of them holds about twice
-    what is still needed; of that window the subset is taken whose sum is nearest,
-    found by all sums that are possible (a bit each). Later ones are left.
+    In their order those that fit in what is still needed are taken, to the end; larger
+    ones are passed over. The last window of those taken and the smallest window of those
+    passed over are then chosen anew: the subset whose sum is nearest, found by all sums
+    that are possible (a bit each), the lower one of two that are as near.
     """
-    at = 0
-    while at + window < len(sizes) and need >= sizes[at] and 2 * need > sum(sizes[at : at + window]):
-        need -= sizes[at]
-        at += 1
-    part = sizes[at : at + window]
+    taken = [False] * len(sizes)
+    for k, n in enumerate(sizes):
+        if 0 < n <= need:
+            taken[k], need = True, need - n
+    last = [k for k, t in enumerate(taken) if t][-window:]
+    over = sorted((k for k, t in enumerate(taken) if not t and sizes[k] > 0), key=lambda k: (sizes[k], k))[:window]
+    part = sorted(last + over)
+    need += sum(sizes[k] for k in last)
+    # a sum over twice of what is needed is farther off than none
+    mask = (1 << 2 * need + 1) - 1
     sums = [1]
-    for n in part:
-        sums.append(sums[-1] | sums[-1] << n)
+    for k in part:
+        sums.append((sums[-1] | sums[-1] << sizes[k]) & mask if sizes[k] <= 2 * need else sums[-1])
     low = sums[-1] & ((1 << need + 1) - 1)
     best = low.bit_length() - 1
     high = sums[-1] >> need + 1
     if high and (high & -high).bit_length() < need - best:
         best = need + (high & -high).bit_length()
-    chosen = []
-    for n, before in zip(part[::-1], sums[-2::-1]):
+    for k, before in zip(part[::-1], sums[-2::-1]):
         # left out where the sums before reach it without
-        skip = best >= 0 and before >> best & 1
-        chosen.append(not skip)
-        best -= 0 if skip else n
-    return [True] * at + chosen[::-1] + [False] * (len(sizes) - at - len(part))
+        taken[k] = not before >> best & 1
+        best -= sizes[k] if taken[k] else 0
+    return taken
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, membership: str | None = None, repeats: int = 3, seed: int = SEED) -> DataFrame:

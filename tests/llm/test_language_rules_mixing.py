@@ -98,6 +98,26 @@ def test_flow_of_overlapping_sources():
     assert sum(mixing.flow({("a",): 10}, {"a": 1000}).values()) == 30
 
 
+def test_nearest_sum_passes_over_a_very_long_document():
+    rng = random.Random(10)
+    sizes = [rng.randint(450, 550) for _ in range(300)]
+    for at in (0, 10, 150, 299):
+        part = sizes[:at] + [200_000] + sizes[at:]
+        for need in (140_000, 100_000, 700, 0):
+            got = mixing.nearest_sum(part, need)
+            assert len(got) == 301 and abs(sum(n for n, t in zip(part, got) if t) - need) <= (0 if need > 1000 else 300)
+    assert mixing.nearest_sum([0, 200], 190) == [False, True] and mixing.nearest_sum([], 5) == []
+
+
+def test_nearest_sum_of_few_by_brute_force():
+    rng = random.Random(11)
+    for _ in range(200):
+        sizes = [rng.choice((1, 10, 100)) * rng.randint(0, 20) for _ in range(rng.randint(0, 9))]
+        need = rng.randint(0, 1 + sum(sizes))
+        best = min(abs(sum(n for i, n in enumerate(sizes) if m >> i & 1) - need) for m in range(1 << len(sizes)))
+        assert abs(sum(n for n, t in zip(sizes, mixing.nearest_sum(sizes, need)) if t) - need) == best
+
+
 def test_mix_by_brute_force(spark, sf_dir):
     rows = {r.doc_id: r for r in documents(spark, sf_dir).collect()}
     got = mixing.query(spark, sf_dir).collect()
