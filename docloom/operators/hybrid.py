@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,20 @@ def merge_hops(results: DataFrame, config: Hybrid = Hybrid()) -> DataFrame:
     return seen.withColumn("merged_rank", order).filter(F.col("merged_rank") <= config.max_merged).select("query_id", "chunk_id", "merged_rank", F.col("f.hop").alias("hop"), F.col("f.rank").alias("rank"), F.col("f.score").alias("score"), "hops")
 
 
+def multi_hop(queries: DataFrame, search: Callable[[DataFrame], DataFrame], texts: DataFrame, most: int = 2, mode: str = "rule", config: Hybrid = Hybrid()) -> DataFrame:
+    """merge_hops() of hop 1 (queries: query_id, question and any filters) and a hop for each query derived from its texts (chunk_id, text).
+
+    search makes query_id, chunk_id, rank, score of queries; it is given the derived ones
+    with the filters of the query they come from, and (query_id, hop) as their query_id.
+    """
+    columns = ["query_id", "hop", "rank", "chunk_id", "score"]
+    first = search(queries)
+    derived = derived_queries(first.join(texts.select("chunk_id", "text"), "chunk_id"), queries, most, mode).join(queries.drop("question"), "query_id")
+    later = search(derived.withColumn("query_id", F.struct("query_id", "hop")).drop("hop"))
+    later = later.withColumns({"hop": F.col("query_id.hop"), "query_id": F.col("query_id.query_id")})
+    return merge_hops(first.withColumn("hop", F.lit(1)).select(columns).unionByName(later.select(columns)), config)
+
+
 def rerank(candidates: DataFrame, top_n: int, weights: dict[str, float] | None = None) -> DataFrame:
     """candidates (query_id, chunk_id, rank, question, text) with rerank_score, pre_rank and new rank: weights of contained terms and 0.001 for each shared token.
 

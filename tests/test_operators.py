@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from docloom.config import Drift, Hybrid, Sparse
 from docloom.errors import EvaluationError, IndexingError
 from docloom.operators import corpus, dense, evaluate, hybrid, observe, sparse
+from docloom.plans import queries as plans
 from docloom.streaming import metrics
 
 
@@ -78,6 +79,24 @@ def test_hops(spark):
     assert hybrid.derived_queries(first, q, mode="off").count() == 0
 
 
+def test_multi_hop_searches_derived_queries_with_the_filters(spark):
+    rows = [("a", "x", "relief see section 7.4 and clause B"), ("b", "x", "section 7.4 text"), ("c", "y", "section 7.4 text"), ("d", "x", "clause b text")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, domain string, text string").withColumns({"document_id": F.lit(1), "source_date": F.lit(None).cast("date")})
+    q = spark.createDataFrame([(1, "how relief", "x"), (2, "how relief", None), (3, "relief", "x")], "query_id int, question string, domain string")
+    q = q.withColumns({"document_id": F.lit(None).cast("int"), "date_from": F.lit(None).cast("date"), "date_to": F.lit(None).cast("date")})
+    index = sparse.build(chunks)
+    search = lambda q: sparse.top_k(sparse.scores(index, q, allowed=sparse.search_filter(chunks, q)), 5)
+    got = {}
+    for r in hybrid.multi_hop(q, search, chunks).orderBy("query_id", "merged_rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.hop))
+    assert got[1][0] == got[2][0] == ("a", 1) and got[3] == [("a", 1)]  # no cue, no second hop
+    assert sorted(got[1][1:]) == [("b", 2), ("d", 3)] and sorted(got[2][1:]) == [("b", 2), ("c", 2), ("d", 3)]
+
+
+def test_multi_hop_query_has_later_hops(spark, sf_dir):
+    assert plans.multi_hop(spark, sf_dir).filter("hop > 1").count() > 0
+
+
 def test_rerank(spark):
     c = spark.createDataFrame([(1, "a", 1, "red fox", "blue"), (1, "b", 2, "red fox", "a red fox"), (1, "c", 3, "red fox", "Key red")], "query_id int, chunk_id string, rank int, question string, text string")
     got = hybrid.rerank(c, 2, {"key": 1.0}).orderBy("rank").collect()
