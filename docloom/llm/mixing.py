@@ -10,9 +10,10 @@ much of each pattern to take, and documents are then chosen by a seeded hash.
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import WORD, documents, staged
@@ -20,6 +21,8 @@ from docloom.llm.common import WORD, documents, staged
 WEIGHTS = (5, 2, 1)
 SUBSETS = 1000  # documents of a pattern that share a hash range, about
 SEED = 20
+#: Membership patterns that may reach the driver, a row each; more are an error.
+MAX_PATTERNS = 200_000
 
 
 def targets(sizes: dict, weights: dict, total: float, limit: float = 3.0) -> dict:
@@ -46,6 +49,8 @@ def flow(patterns: dict[tuple, int], quotas: dict, repeats: int = 3) -> dict[tup
     Arcs: start to pattern, its size for each repetition r at cost r * r; pattern to
     source, free; source to end, the quota. Successive shortest paths with potentials.
     """
+    if all(len(p) == 1 for p in patterns):  # one way only
+        return {(p, p[0]): min(round(quotas.get(p[0], 0)), repeats * n) for p, n in patterns.items() if n and round(quotas.get(p[0], 0))}
     names = list(patterns)
     sources = sorted({s for p in names for s in p}, key=repr)
     index = {s: 2 + len(names) + k for k, s in enumerate(sources)}
@@ -128,33 +133,34 @@ def nearest_sum(sizes: list[int], need: int, window: int = 24) -> list[bool]:
     return taken
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, membership: str | None = None, repeats: int = 3, seed: int = SEED) -> DataFrame:
-    """docs (doc_id, text and others) with size, sources (array), source_size, target, copies and taken (copies * size).
-
-    membership: an array column of sources; if None, [source]. size: number of words
-    of the text (null: 0). Sources sorted by code point, null last, have the weights in
-    turn. Targets share all documents' sizes (see targets(): at most repeats times a
-    source's size). For a document in several sources, source_size and target are
-    those of the first. Each pattern's words are taken in whole rounds of all its
-    documents, then by seeded hash: ranges of the hash with about SUBSETS documents
-    each are taken whole while they fit, and in the first that doesn't, the documents
-    that nearest_sum() chooses. Rows of size 0 are taken 0 times; equal rows have equal
-    hashes and are told apart by nothing else. Only sums by pattern and by hash range
-    (of size: documents / SUBSETS) reach the driver in total for the ranges' pattern.
-    """
+def _pattern(membership: str | None) -> Column:
+    """The names of a row's sources in order; '=' before a name tells a null source, '~', from any string."""
     member = F.col(membership) if membership else F.array(F.col("source"))
+    return F.array_sort(F.array_distinct(F.transform(member, lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("~")))))
+
+
+def _place(seed: int, membership: str | None) -> Column:
+    """A row's place in the order of its pattern: rows of equal doc_id, text and sources share it."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"), _pattern(membership))
+
+
+def _mix(docs: DataFrame, weights: tuple[int, ...], membership: str | None, repeats: int, seed: int, max_patterns: int) -> DataFrame:
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    # '=' before a name tells a null source from any string
-    named = F.array_sort(F.array_distinct(F.transform(member, lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("~")))))
-    rows = staged(docs.select("doc_id", size.alias("size"), named.alias("pattern"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h")))
-    sums = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    rows = staged(docs.select("doc_id", size.alias("size"), _pattern(membership).alias("pattern"), _place(seed, membership).alias("h")))
+    sums = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(max_patterns + 1).collect()
+    if len(sums) > max_patterns:
+        raise ValueError(f"more than {max_patterns} patterns of membership; join rare sources first, or raise max_patterns")
     patterns = {tuple(r.pattern): r.size for r in sums}
     counts = {tuple(r.pattern): r.n for r in sums}
-    sources = sorted({s for p in patterns for s in p}, key=lambda s: (s == "~", s.encode()))
-    sizes = {s: sum(n for p, n in patterns.items() if s in p) for s in sources}
-    target = targets(sizes, {s: weights[k % len(weights)] for k, s in enumerate(sources)}, sum(patterns.values()), repeats)
-    given = flow({p: n for p, n in patterns.items() if n}, target, repeats)
-    want = {p: sum(n for (q, _), n in given.items() if q == p) for p in patterns}
+    sizes: dict = {}
+    for p, n in patterns.items():
+        for s in p:
+            sizes[s] = sizes.get(s, 0) + n
+    sizes = {s: sizes[s] for s in sorted(sizes, key=lambda s: (s == "~", s.encode()))}
+    target = targets(sizes, {s: weights[k % len(weights)] for k, s in enumerate(sizes)}, sum(patterns.values()), repeats)
+    want = dict.fromkeys(patterns, 0)
+    for (p, _), n in flow({p: n for p, n in patterns.items() if n}, target, repeats).items():
+        want[p] += n
     spark = docs.sparkSession
     plan = [(list(p), min(want[p] // n, repeats) if n else 0, (want[p] - n * min(want[p] // n, repeats)) if n else 0, max(1, -(-counts[p] // SUBSETS)), sizes[p[0]], target[p[0]]) for p, n in patterns.items()]
     schema = "pattern array<string>, rounds long, rest long, ranges long, source_size long, target double"
@@ -168,25 +174,48 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, membership: str | N
     rows = staged(rows.join(edge, "pattern", "left"))
 
     def choose(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["h", "doc_id"], kind="stable")
-        return part.drop(columns="need").assign(extra=nearest_sum(part["size"].tolist(), int(part["need"].iloc[0])))
+        part = part.sort_values(["h", "doc_id", "size"], kind="stable")
+        whole = (part["size"] * part["n"]).tolist()
+        return part[["pattern", "h", "doc_id", "size"]].assign(extra=nearest_sum(whole, int(part["need"].iloc[0])))
 
     kept = ["doc_id", "size", "pattern", "h", "rounds", "rest", "source_size", "target"]
     at_edge = F.coalesce(F.col("range") == F.col("edge"), F.lit(False))
     before = F.coalesce(F.col("range") < F.col("edge"), F.col("rest") > 0) & (F.col("size") > 0)
     plain = rows.filter(~at_edge).select(*kept, before.alias("extra"))
-    chosen = rows.filter(at_edge).select(*kept, "need").groupBy("pattern").applyInPandas(choose, plain.schema)
+    # equal rows are one unit, so a group has about SUBSETS units however often one repeats
+    units = rows.filter(at_edge).groupBy("pattern", "h", "doc_id", "size", "need").agg(F.count(F.lit(1)).alias("n"))
+    units = units.groupBy("pattern").applyInPandas(choose, "pattern array<string>, h long, doc_id long, size long, extra boolean")
+    same = reduce(lambda a, b: a & b, (F.col(f"r.{c}").eqNullSafe(F.col(f"u.{c}")) for c in ("pattern", "h", "doc_id", "size")))
+    chosen = rows.filter(at_edge).alias("r").join(units.alias("u"), same, "left").select(*(f"r.{c}" for c in kept), "u.extra")
     found = plain.unionByName(chosen)
     copies = F.when(F.col("size") > 0, F.col("rounds") + F.col("extra").cast("long")).otherwise(F.lit(0).cast("long"))
     names = F.transform("pattern", lambda s: F.when(s != "~", F.substring(s, 2, 1 << 30)))
-    return found.select("doc_id", "size", names.alias("sources"), "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return found.select("doc_id", "size", names.alias("sources"), "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "h")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, membership: str | None = None, repeats: int = 3, seed: int = SEED, max_patterns: int = MAX_PATTERNS) -> DataFrame:
+    """doc_id, size, sources (array), source_size, target, copies and taken (copies * size) of each row of docs (doc_id, text, source and others).
+
+    membership: an array column of sources; if None, [source]. size: number of words
+    of the text (null: 0). Sources sorted by code point, null last, have the weights in
+    turn. Targets share all documents' sizes (see targets(): at most repeats times a
+    source's size). For a document in several sources, source_size and target are
+    those of the first. Each pattern's words are taken in whole rounds of all its
+    documents, then by seeded hash of doc_id and text: ranges of the hash with about
+    SUBSETS documents each are taken whole while they fit, and in the first that doesn't,
+    the documents that nearest_sum() chooses. Rows of size 0 are taken 0 times. Rows of
+    equal doc_id, text and sources are taken alike, so the order of rows changes nothing; a null
+    or repeated doc_id is told apart by its text. A very long text is one document of
+    its size. A row for each pattern reaches the driver (at most max_patterns), no more.
+    """
+    return _mix(docs, weights, membership, repeats, seed, max_patterns).drop("h")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken, with docs' columns. Rows of equal doc_id are taken alike, as often as the most of them; null is such a doc_id too."""
-    copies = mix(docs, **options).filter(F.col("copies") > 0).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    found = rows.join(copies, F.col("row.doc_id").eqNullSafe(F.col("id")))
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, membership: str | None = None, repeats: int = 3, seed: int = SEED, max_patterns: int = MAX_PATTERNS) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as mix() takes it, with docs' columns."""
+    copies = _mix(docs, weights, membership, repeats, seed, max_patterns).filter(F.col("copies") > 0).groupBy(F.col("h").alias("at"), F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _place(seed, membership).alias("place"))
+    found = rows.join(copies, (F.col("place") == F.col("at")) & F.col("row.doc_id").eqNullSafe(F.col("id")))
     return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
