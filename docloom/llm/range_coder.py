@@ -1,36 +1,48 @@
 """Adaptive context-mixing range coder for token ids below 65536.
 
-Blocks are coded side by side: the coder goes from one position to the next and does
-each step for all blocks at once with numpy. Every block starts from nothing: its
-model, its coder and its checksum are its own, so any block is read without others.
-
-Three orders predict each id. Order 2 and order 1 look up which id last followed the
-two ids, or the one id, before it, with how often that held; order 0 has adaptive
-frequencies of 68 ranges of ids and the last id seen in each. Orders 2 and 1 get mass
-by how often such confidence was right in this block, order 0 gets the rest, and a
-range coder codes the id in the mixture: its step names order 2's id, order 1's id or
-a range, a second step the id within the range.
+A file is cut into blocks. Every block starts from nothing: its model, its coder and its
+checksum are its own, so any block is read without others. A block's ids are dealt
+into lanes, contiguous stretches that are coded side by side with numpy: each step
+codes one id of every lane, with one model for all lanes that learns from all of
+them after the step. So the model sees the whole block, and steps stay vectors.
+
+Three orders predict each id. Order 2 names the id that last followed the two ids
+before it, order 1 the two best followers of the one before it, order 0 has the
+frequencies of all ids of the block so far. Each named id is a binary decision:
+how often predictions of such standing were right, and how often predictions of
+that id were, are mixed in the logistic domain with weights learned on the way. The
+decisions' masses and order 0's frequencies are coded by a range coder for each lane.
+All numbers that decide are integers, or doubles of single exact operations, so any
+machine decodes alike.
 """
 
 from __future__ import annotations
 
 import zlib
+from decimal import Decimal
+from functools import lru_cache
 
 import numpy as np
 
-BLOCK, LANES = 4096, 4096
-_SLOTS = 2048
-#: Ranges of ids: 128 ids each below 4096, 512 below 16384, 4096 above.
-_BITS = np.array([7] * 32 + [9] * 24 + [12] * 12, np.int64)
-_STARTS = np.concatenate([[0], np.cumsum(1 << _BITS)[:-1]])
-_G = len(_BITS)
-_ONE_UP = np.arange(1, _G + 1, dtype=np.int16)[:, None]
-_RANGE_OF = np.repeat(np.arange(_G), 1 << _BITS)
-_REFRESH, _HALVE = 16, 1 << 14
+BLOCK, LANES = 1 << 22, 4096
+#: Fewest ids of a lane, as a power of two, while there is more than one lane.
+_LEAST_LANE = 8
+_SLOTS = 1 << 20
+_WHOLE, _FINE = 12, 18  # bits of the masses of decisions, and of order 0's frequencies
+_REFRESH = 16
 U = np.uint64
 _MASK31, _LEAST = U((1 << 31) - 1), U(1 << 31)
 
 
+@lru_cache(1)
+def _logistic() -> tuple[np.ndarray, np.ndarray]:
+    """squash (4096 * logistic(d / 256) for d from -2047 to 2047) and its inverse, stretch, as integers; decimal arithmetic is the same everywhere."""
+    up = [int(4096 / (1 + (Decimal(-d) / 256).exp())) for d in range(-2047, 2048)]
+    squash = np.clip(np.array(up, np.int64), 1, 4095)
+    stretch = np.clip(np.searchsorted(squash, np.arange(4096)) - 2047, -2047, 2047).astype(np.int64)
+    return squash, stretch
+
+
 def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a // b as int64 for quotients below 2**31: by doubles, then put right, which is faster than division of integers."""
     q = (a / b).astype(np.int64)
@@ -38,100 +50,161 @@ def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return q - (rest < 0) + (rest >= b.view(np.int64))
 
 
+class _Decision:
+    """Whether a named id is the next one: two adaptive estimates, by standing and by id, and their logistic mixture."""
+
+    def __init__(self, kinds: int, names: int = 1024) -> None:
+        self.squash, self.stretch = _logistic()
+        self.hits = [np.full(kinds, 0.5), np.full(names, 0.5)]
+        self.tries = [np.full(kinds, 1.5), np.full(names, 1.5)]
+        self.at = [np.zeros(kinds, np.int64), np.zeros(names, np.int64)]
+        self.weights = [45000, 20000]
+        self.names = names - 1
+        self._learned(0)
+        self._learned(1)
+
+    def _learned(self, i: int) -> None:
+        self.at[i] = self.stretch[(self.hits[i] / self.tries[i] * 4096).astype(np.int64)]
+
+    def predict(self, kind: np.ndarray, name: np.ndarray) -> np.ndarray:
+        """Probability in 4096ths, 1 to 4095."""
+        self.keys = kind, name & self.names
+        self.inputs = self.at[0][kind], self.at[1][self.keys[1]]
+        mixed = (self.weights[0] * self.inputs[0] + self.weights[1] * self.inputs[1]) >> 16
+        self.p = self.squash[np.minimum(np.maximum(mixed, -2047), 2047) + 2047]
+        return self.p
+
+    def update(self, tried: np.ndarray, hit: np.ndarray, learn: bool) -> None:
+        """hit is only where tried is; estimates follow the counts where learn is set."""
+        n = int(np.count_nonzero(tried))
+        if not n:
+            return
+        miss = np.where(tried, (hit.astype(np.int64) << _WHOLE) - self.p, 0)
+        for i in (0, 1):
+            self.weights[i] += int(miss @ self.inputs[i]) // (n << 4)
+            size = len(self.hits[i])
+            seen = np.bincount(np.where(tried, 2 * self.keys[i] + hit, 2 * size), minlength=2 * size)
+            self.hits[i] += seen[1 : 2 * size : 2]
+            self.tries[i] += seen[0 : 2 * size : 2] + seen[1 : 2 * size : 2]
+            if learn:
+                self._learned(i)
+
+
 class _Model:
-    """Predictions for the next id of each of n blocks."""
-
-    def __init__(self, n: int) -> None:
-        self.lane = np.arange(n)
-        self.t1, self.t2 = np.zeros(n * _SLOTS, np.int32), np.zeros(n * _SLOTS, np.int32)  # confidence << 16 | id
-        self.w1, self.w2 = np.full(n * 8, 16384, np.int64), np.full(n * 8, 32768, np.int64)
-        self.n = n
-        # a row for each range, so that sums over ranges are sums of rows
-        self.count = np.full((_G, n), 8, np.int32)
-        self.last0 = np.zeros(n * _G, np.int64)
+    """Predictions for the next id of each of n lanes over ids below top."""
+
+    def __init__(self, n: int, top: int) -> None:
+        self.n, self.top = n, top
+        self.by2 = np.zeros(_SLOTS, np.int64)  # check << 24 | standing << 16 | id
+        self.best, self.other = np.zeros(top, np.int64), np.zeros(top, np.int64)  # standing << 16 | id
+        self.two, self.one, self.next = _Decision(256), _Decision(256), _Decision(256)
         self.p1, self.p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.at_slot, self.at_conf = self.lane * _SLOTS, self.lane * 8
-        self.cum = np.zeros((_G + 1, n), np.int16)
-        self.upto = np.zeros((_G + 1, n), np.int32)
-        self.flat = self.cum.ravel()
-        self.count_flat = self.count.ravel()
+        self.count = np.zeros(top, np.int64)
+        self.fresh: list[np.ndarray] = []
         self.step = 0
 
+    def _frequencies(self) -> None:
+        """Order 0: size and begin of each id seen (and, last, of any other id) in a whole of 2**18; named: what lies where."""
+        if self.fresh:
+            self.count += np.bincount(np.concatenate(self.fresh), minlength=self.top)
+            self.fresh = []
+        seen = self.count > 0
+        total, distinct, once = int(self.count.sum()), int(np.count_nonzero(seen)), int(np.count_nonzero(self.count == 1))
+        whole = 1 << _FINE
+        new = max(1, min(whole * (once + 1) // (total + once + 2), (whole - distinct) // 2))
+        self.size = np.zeros(self.top + 1, np.int64)
+        if total:
+            self.size[:-1] = self.count * ((whole - distinct - new) / total) + seen
+        self.size[-1] = whole - int(self.size.sum())
+        self.begin = np.cumsum(self.size) - self.size
+        self.named = np.repeat(np.arange(self.top + 1), self.size)
+
     def predict(self) -> None:
-        if self.step % _REFRESH == 0:
-            total = self.count.sum(0)
-            if (big := total > _HALVE).any():
-                self.count[:, big] = (self.count[:, big] + 1) >> 1
-                total = self.count.sum(0)
-            # every range keeps at least one part of 4096; products of doubles are the same on any machine
-            for g in range(_G):  # row by row: much faster than cumsum along columns
-                np.add(self.upto[g], self.count[g], out=self.upto[g + 1])
-            self.cum[1:] = self.upto[1:] * ((4096 - _G) / total)
-            self.cum[1:] += _ONE_UP
-            self.cum[_G] = 4096
+        if self.step % _REFRESH == 0 or self.step & (self.step - 1) == 0:
+            self._frequencies()
         self.step += 1
-        self.s1 = self.at_slot + ((self.p1 * 40503 >> 5) & (_SLOTS - 1))
-        self.s2 = self.at_slot + (((self.p1 * 2654435761 + self.p2 * 40503 * 31) >> 9) & (_SLOTS - 1))
-        e1, e2 = self.t1[self.s1], self.t2[self.s2]
-        self.id1, self.id2 = (e1 & 0xFFFF).astype(np.int64), (e2 & 0xFFFF).astype(np.int64)
-        self.c1, self.c2 = e1 >> 16, e2 >> 16
-        self.k1, self.k2 = self.at_conf + self.c1, self.at_conf + self.c2
-        self.m2 = np.where(self.c2 > 0, self.w2[self.k2], 0)
-        use1 = (self.c1 > 0) & ((self.id1 != self.id2) | (self.c2 == 0))
-        self.m1 = np.where(use1, (65536 - self.m2) * self.w1[self.k1] >> 16, 0)
-        self.m = self.m1 + self.m2
-        self.rest = 65536 - self.m
-
-    def update(self, ids: np.ndarray, ranges: np.ndarray) -> None:
-        for t, s, c, pred, w, k in ((self.t1, self.s1, self.c1, self.id1, self.w1, self.k1), (self.t2, self.s2, self.c2, self.id2, self.w2, self.k2)):
-            hit = (pred == ids) & (c > 0)
-            old = w[k]
-            w[k] = np.maximum(old + ((hit * 48000 - old) >> 4), 64)  # never so small that its share of the mass is empty
-            c = np.where(hit, np.minimum(c + 1, 7), c >> 1)
-            # a prediction that fell to no confidence gives way
-            t[s] = np.where(c > 0, (c << 16) | pred, 65536 | ids)
-        at = ranges * self.n + self.lane
-        self.count_flat[at] += 24
-        self.last0[at] = ids
+        mixed = self.p1 * 0x9E3779B1 + self.p2 * 0x85EBCA77
+        self.slot, self.check = (mixed >> 13) & (_SLOTS - 1), (mixed ^ mixed >> 9) & 0xFF
+        e2, self.e1, self.e0 = self.by2[self.slot], self.best[self.p1], self.other[self.p1]
+        self.c2 = np.where(e2 >> 24 == self.check, (e2 >> 16) & 0xFF, 0)
+        self.id2, self.id1, self.id0 = e2 & 0xFFFF, self.e1 & 0xFFFF, self.e0 & 0xFFFF
+        self.c1, self.c0 = self.e1 >> 16, self.e0 >> 16
+        self.any2 = self.c2 > 0
+        is1, is0 = self.id2 == self.id1, self.id2 == self.id0
+        p2 = self.two.predict(self.c2 * 32 + (self.c1 >> 1) * 4 + is1 + 2 * is0, self.id2)
+        self.m2 = np.where(self.any2, p2, 0)
+        rest = (1 << _WHOLE) - self.m2
+        p1 = self.one.predict(self.c1 * 16 + (self.c0 >> 1) * 2 + self.any2, self.id1)
+        self.m1 = np.where((self.c1 > 0) & ~(self.any2 & is1), rest * p1 >> _WHOLE, 0)
+        rest = rest - self.m1
+        p0 = self.next.predict(self.c0 * 16 + (self.c1 >> 1) * 2 + self.any2, self.id0)
+        self.m0 = np.where((self.c0 > 0) & ~(self.any2 & is0), rest * p0 >> _WHOLE, 0)
+        self.up1 = self.m2 + self.m1
+        self.up0 = self.up1 + self.m0
+
+    def update(self, ids: np.ndarray) -> None:
+        hit2, hit1, hit0 = self.any2 & (ids == self.id2), (self.c1 > 0) & (ids == self.id1), (self.c0 > 0) & (ids == self.id0)
+        tried1 = (self.m1 > 0) & ~hit2
+        learn = self.step < 64 or self.step % 8 == 0
+        self.two.update(self.any2, hit2, learn)
+        self.one.update(tried1, tried1 & hit1, learn)
+        tried0 = (self.m0 > 0) & ~hit2 & ~(hit1 & (self.m1 > 0))
+        self.next.update(tried0, tried0 & hit0, learn)
+        c = np.where(hit2, np.minimum(self.c2 + 1, 7), self.c2 >> 1)
+        # a prediction without standing gives way
+        self.by2[self.slot] = (self.check << 24) | np.where(c > 0, (c << 16) | self.id2, 65536 | ids)
+        up0 = np.minimum(self.c0 + 1, 15)
+        swap = hit0 & (up0 > self.c1)
+        best = np.where(hit1, (np.minimum(self.c1 + 1, 15) << 16) | self.id1, np.where(swap, (up0 << 16) | ids, self.e1))
+        best = np.where(self.c1 == 0, 65536 | ids, best)
+        stays = np.where(self.c0 > 1, ((self.c0 - 1) << 16) | self.id0, 65536 | ids)
+        other = np.where(swap, self.e1, np.where(hit0, (up0 << 16) | self.id0, np.where(hit1 | (self.c1 == 0), self.e0, stays)))
+        self.best[self.p1], self.other[self.p1] = best, other
+        self.fresh.append(ids)
         self.p2, self.p1 = self.p1, ids
 
 
-def _encode_lanes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, used): ids (blocks, steps) coded; each block's words as 32-bit values."""
+def _encode_lanes(ids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, used): ids (lanes, steps) coded; each lane's words as 32-bit values."""
     n, steps = ids.shape
-    model, ids = _Model(n), np.ascontiguousarray(ids.T.astype(np.int64))
+    model, ids = _Model(n, top), np.ascontiguousarray(ids.T.astype(np.int64))
     low, width = np.zeros(n, U), np.full(n, (1 << 63) - 1, U)
-    room = steps + 4
+    room = steps * 3 // 2 + 4
     out, put = np.zeros(n * room, U), np.arange(n) * room
     start = put.copy()
     for x in ids:
         model.predict()
-        g = _RANGE_OF[x]
-        hit2 = (model.c2 > 0) & (x == model.id2)
+        hit2 = model.any2 & (x == model.id2)
         hit1 = ~hit2 & (model.m1 > 0) & (x == model.id1)
-        hit = hit2 | hit1
-        a = g * n + model.lane
-        lo = model.m + (model.flat[a] * model.rest >> 12)
-        hi = model.m + (model.flat[a + n] * model.rest >> 12)
-        lo = np.where(hit2, 0, np.where(hit1, model.m2, lo))
-        hi = np.where(hit2, model.m2, np.where(hit1, model.m, hi))
-        r = width >> U(16)
+        hit0 = ~hit2 & ~hit1 & (model.m0 > 0) & (x == model.id0)
+        hit = hit2 | hit1 | hit0
+        lo = np.where(hit2, 0, np.where(hit1, model.m2, np.where(hit0, model.up1, model.up0)))
+        hi = np.where(hit2, model.m2, np.where(hit1, model.up1, np.where(hit0, model.up0, 1 << _WHOLE)))
+        r = width >> U(_WHOLE)
         low += r * lo.astype(U)
         width = r * (hi - lo).astype(U)
-        bits = _BITS[g]
-        same = model.last0[a] == x
-        part = np.where(hit, 0, np.where(same, 0, (1 << bits) + 3 * (x - _STARTS[g])))
-        size = np.where(hit, 1, np.where(same, 1 << bits, 3))
-        r = width >> np.where(hit, 0, bits + 2).astype(U)
-        low += r * part.astype(U)
+        size = model.size[x]
+        new = ~hit & (size == 0)
+        g = np.where(new, top, x)
+        size = np.where(hit, 1, model.size[g])
+        r = width >> np.where(hit, 0, _FINE).astype(U)
+        low += r * np.where(hit, 0, model.begin[g]).astype(U)
         width = r * size.astype(U)
         emit = width < _LEAST
         out[put] = low >> U(31)
         put += emit
-        shift = emit.astype(U) << U(5)
         low = np.where(emit, (low & _MASK31) << U(32), low)
-        width <<= shift
-        model.update(x, g)
+        width <<= emit.astype(U) << U(5)
+        if new.any():  # an id that this block's order 0 does not know yet: 16 plain bits
+            k = np.flatnonzero(new)
+            r = width[k] >> U(16)
+            low[k] += r * x[k].astype(U)
+            emit = r < _LEAST
+            out[put[k]] = low[k] >> U(31)
+            put[k] += emit
+            low[k] = np.where(emit, (low[k] & _MASK31) << U(32), low[k])
+            width[k] = r << (emit.astype(U) << U(5))
+        model.update(x)
     out[put] = low >> U(31)
     out[put + 1] = (low & _MASK31) << U(1)
     used = put + 2 - start
@@ -142,103 +215,104 @@ def _encode_lanes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out.astype(np.uint32), used
 
 
-def _decode_lanes(words: np.ndarray, steps: int) -> np.ndarray:
-    """ids (blocks, steps) from words (blocks, any) padded with zeros."""
+def _decode_lanes(words: np.ndarray, steps: int, top: int) -> np.ndarray:
+    """ids (lanes, steps) from words (lanes, any) padded with zeros."""
     n = len(words)
     w = np.concatenate([words.astype(U), np.zeros((n, 3), U)], axis=1)
     code = (w[:, 0] << U(31)) | (w[:, 1] >> U(1))
     stream = (((w[:, :-1] & U(1)) << U(31)) | (w[:, 1:] >> U(1))).ravel()
     take = np.arange(n) * (w.shape[1] - 1) + 1
     stop = take + w.shape[1] - 3
-    model, width = _Model(n), np.full(n, (1 << 63) - 1, U)
+    model, width = _Model(n, top), np.full(n, (1 << 63) - 1, U)
     out = np.zeros((steps, n), np.int64)
     for t in range(steps):
         model.predict()
-        r = width >> U(16)
-        v = np.minimum(_quotient(code, r), 65535)
-        hit2, hit = v < model.m2, v < model.m
-        # the last range that begins at or before v
-        want = _quotient(np.maximum((v - model.m + 1) * 4096 - 1, 0), model.rest)
-        g = np.add.reduce((model.cum[1:_G] <= want.astype(np.int16)).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
-        a = g * n + model.lane
-        lo = model.m + (model.flat[a] * model.rest >> 12)
-        hi = model.m + (model.flat[a + n] * model.rest >> 12)
-        lo = np.where(hit2, 0, np.where(hit, model.m2, lo))
-        hi = np.where(hit2, model.m2, np.where(hit, model.m, hi))
+        r = width >> U(_WHOLE)
+        v = np.minimum(_quotient(code, r), (1 << _WHOLE) - 1)
+        hit2, in1, hit = v < model.m2, v < model.up1, v < model.up0
+        lo = np.where(hit2, 0, np.where(in1, model.m2, np.where(hit, model.up1, model.up0)))
+        hi = np.where(hit2, model.m2, np.where(in1, model.up1, np.where(hit, model.up0, 1 << _WHOLE)))
         code -= r * lo.astype(U)
         width = r * (hi - lo).astype(U)
-        bits = _BITS[g]
-        r = width >> np.where(hit, 0, bits + 2).astype(U)
-        v = np.minimum(_quotient(code, r), (4 << bits) - 1)
-        whole = 1 << bits
-        same = v < whole
-        off = np.where(same, 0, (v - whole) // 3)
-        x = np.where(same, model.last0[a], _STARTS[g] + off)
-        x = np.where(hit2, model.id2, np.where(hit, model.id1, x))
-        part = np.where(hit | same, 0, whole + 3 * off)
-        size = np.where(hit, 1, np.where(same, whole, 3))
-        code -= r * part.astype(U)
-        width = r * size.astype(U)
+        r = width >> np.where(hit, 0, _FINE).astype(U)
+        v = np.where(hit, 0, np.minimum(_quotient(code, r), (1 << _FINE) - 1))
+        g = model.named[v]
+        x = np.where(hit2, model.id2, np.where(in1, model.id1, np.where(hit, model.id0, g)))
+        code -= r * np.where(hit, 0, model.begin[g]).astype(U)
+        width = r * np.where(hit, 1, model.size[g]).astype(U)
         emit = width < _LEAST
         code = np.where(emit, (code << U(32)) | stream[np.minimum(take, stop)], code)
         width <<= emit.astype(U) << U(5)
         take += emit
+        new = ~hit & (g == top)
+        if new.any():
+            k = np.flatnonzero(new)
+            r = width[k] >> U(16)
+            v = np.minimum(_quotient(code[k], r), 0xFFFF)
+            x[k] = np.minimum(v, top - 1)
+            code[k] -= r * v.astype(U)
+            emit = r < _LEAST
+            code[k] = np.where(emit, (code[k] << U(32)) | stream[np.minimum(take[k], stop[k])], code[k])
+            width[k] = r << (emit.astype(U) << U(5))
+            take[k] += emit
         out[t] = x
-        model.update(x, _RANGE_OF[x])
+        model.update(x)
     return out.T
 
 
-MAGIC = b"DLTOK1\n\0"
-_HEAD = np.dtype([("tokens", "<u4"), ("words", "<u4"), ("crc32", "<u4")])
+MAGIC = b"DLTOK2\n\0"
+_HEAD = np.dtype([("tokens", "<u4"), ("lanes", "<u4"), ("top", "<u4"), ("sizes", "<u4"), ("words", "<u4"), ("crc32", "<u4")])
+
 
+def _lanes(tokens: int) -> int:
+    return max(1, min(LANES, tokens >> _LEAST_LANE))
 
-def write_ids(ids: np.ndarray) -> bytes:
-    """A file of ids: MAGIC, number of blocks (4 bytes), for each block its tokens, words and the CRC-32 of its words, then the words of all blocks.
 
-    Blocks hold BLOCK ids, the last one what remains. A block's last ids beyond its
-    tokens, up to the step at which its group of blocks ends, are coded as 0.
+def write_ids(ids: np.ndarray, block: int = BLOCK) -> bytes:
+    """A file of ids: MAGIC, number of blocks (4 bytes), then each block: its head, the words of each lane (zlib, 4 bytes each), the lanes' words.
+
+    A block holds block ids, the last one what remains. Lanes are equally long; what the last
+    ones lack is coded as 0. A head names tokens, lanes, the bound of the ids, the bytes
+    of the lanes' sizes, the words of all lanes, and the CRC-32 of both.
     """
     if len(ids) and int(ids.max()) > 0xFFFF:
         raise ValueError("ids must be below 65536")
-    blocks = -(-len(ids) // BLOCK)
-    padded = np.zeros(blocks * BLOCK, np.int64)
-    padded[: len(ids)] = ids
-    padded = padded.reshape(blocks, BLOCK)
-    tokens = np.minimum(BLOCK, len(ids) - np.arange(blocks) * BLOCK)
-    heads, parts = np.zeros(blocks, _HEAD), []
-    for i in range(0, blocks, LANES):
-        steps = int(tokens[i : i + LANES].max())
-        words, used = _encode_lanes(padded[i : i + LANES, :steps])
-        for k, (w, u) in enumerate(zip(words, used.tolist())):
-            raw = w[:u].astype("<u4").tobytes()
-            heads[i + k] = (tokens[i + k], u, zlib.crc32(raw))
-            parts.append(raw)
-    return MAGIC + np.uint32(blocks).tobytes() + heads.tobytes() + b"".join(parts)
+    parts = []
+    for at in range(0, len(ids), block):
+        part = np.asarray(ids[at : at + block])
+        n = _lanes(len(part))
+        steps, top = -(-len(part) // n), int(part.max()) + 1
+        padded = np.zeros(n * steps, np.int64)
+        padded[: len(part)] = part
+        words, used = _encode_lanes(padded.reshape(n, steps), top)
+        sizes = zlib.compress(used.astype("<u4").tobytes())
+        body = sizes + words[np.arange(words.shape[1]) < used[:, None]].astype("<u4").tobytes()
+        head = np.array([(len(part), n, top, len(sizes), int(used.sum()), zlib.crc32(body))], _HEAD)
+        parts.append(head.tobytes() + body)
+    return MAGIC + np.uint32(len(parts)).tobytes() + b"".join(parts)
 
 
 def read_ids(data: bytes) -> np.ndarray:
     """The ids of a file; ValueError if it is not one, is cut short, or a block's checksum is wrong."""
     if data[: len(MAGIC)] != MAGIC or len(data) < len(MAGIC) + 4:
         raise ValueError("not a file of token ids")
-    blocks = int(np.frombuffer(data, "<u4", 1, len(MAGIC))[0])
-    at = len(MAGIC) + 4
-    if len(data) < at + blocks * _HEAD.itemsize:
-        raise ValueError("file of token ids is cut short")
-    heads = np.frombuffer(data, _HEAD, blocks, at)
-    at += heads.nbytes
-    ends = at + 4 * np.cumsum(heads["words"].astype(np.int64))
-    if len(data) != (int(ends[-1]) if blocks else at):
-        raise ValueError("file of token ids is cut short")
+    blocks, at = int(np.frombuffer(data, "<u4", 1, len(MAGIC))[0]), len(MAGIC) + 4
     out = []
-    for i in range(0, blocks, LANES):
-        h = heads[i : i + LANES]
-        words = np.zeros((len(h), int(h["words"].max())), np.uint32)
-        for k, (n, crc) in enumerate(zip(h["words"].tolist(), h["crc32"].tolist())):
-            end = int(ends[i + k])
-            raw = data[end - 4 * n : end]
-            if zlib.crc32(raw) != crc:
-                raise ValueError(f"block {i + k} of a file of token ids is damaged")
-            words[k, :n] = np.frombuffer(raw, "<u4")
-        ids = _decode_lanes(words, int(h["tokens"].max()))
-        out += [row[:n] for row, n in zip(ids, h["tokens"].tolist())]
+    for k in range(blocks):
+        if len(data) < at + _HEAD.itemsize:
+            raise ValueError("file of token ids is cut short")
+        tokens, lanes, top, sizes, words, crc = np.frombuffer(data, _HEAD, 1, at)[0].tolist()
+        at += _HEAD.itemsize
+        body = data[at : at + sizes + 4 * words]
+        if len(body) < sizes + 4 * words:
+            raise ValueError("file of token ids is cut short")
+        if zlib.crc32(body) != crc:
+            raise ValueError(f"block {k} of a file of token ids is damaged")
+        used = np.frombuffer(zlib.decompress(body[:sizes]), "<u4").astype(np.int64)
+        padded = np.zeros((lanes, int(used.max())), np.uint32)
+        padded[np.arange(padded.shape[1]) < used[:, None]] = np.frombuffer(body, "<u4", words, sizes)
+        out.append(_decode_lanes(padded, -(-tokens // lanes), top).ravel()[:tokens])
+        at += len(body)
+    if at != len(data):
+        raise ValueError("file of token ids is cut short")
     return np.concatenate(out).astype(np.uint32) if out else np.empty(0, np.uint32)

@@ -86,14 +86,21 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, file_to
                     yield flush()
         if names:
             yield flush()
+        enc.forget()
 
+    if "://" not in folder:
+        raise ValueError("folder must be a URI, so that Spark and pyarrow mean the same place")
     tasks = tasks or max(1, docs.rdd.getNumPartitions())
     rows = docs.select("doc_id", "text").repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
     return staged(rows.mapInArrow(run, MANIFEST))
 
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of each document, from the files; checks every checksum, and the files against the manifest."""
+    """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of each document, from the files.
+
+    Every checksum is checked, and the files against the manifest: a file that is missing,
+    that has another number of documents or that the manifest lacks is an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = table(READ)
@@ -108,13 +115,17 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     if manifest.isEmpty():  # there is no folder then
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder)
-    found = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(run, READ)
-    # running sums over files: a row for each file_tokens ids
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("task", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = manifest.select("file", before.alias("before"), F.col("n_docs"))
-    # a file of the manifest that is missing or unreadable fails the job above or here
-    whole = F.coalesce(F.col("before"), F.raise_error(F.lit("a file that the manifest lacks")).cast("long"))
-    return found.join(starts, "file", "left").select("doc_id", (F.col("start") + whole).alias("start"), "n_tokens", "ids_crc32")
+    found = staged(found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(run, READ))
+    known = manifest.select("file", F.col("n_docs").alias("want")).join(found.groupBy("file").agg(F.count(F.lit(1)).alias("have")), "file", "full")
+    wrong = [r.file for r in known.filter("not (want <=> have)").select("file").orderBy("file").limit(5).collect()]
+    if wrong:
+        raise ValueError(f"token files that differ from their manifest: {', '.join(wrong)}")
+    # sums over tasks (a row each), then over the files of a task
+    upto = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = manifest.groupBy("task").agg(F.sum("n_tokens").alias("n")).select("task", upto(Window.orderBy("task"), "n").alias("first"))
+    files = manifest.withColumn("inside", upto(Window.partitionBy("task").orderBy("part"), "n_tokens")).join(tasks, "task")
+    starts = files.select("file", (F.col("first") + F.col("inside")).alias("before"))
+    return found.join(starts, "file").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
