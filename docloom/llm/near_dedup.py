@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import WordHashes, column, documents, gram_hashes, join_by_key, mix, slices, split_words, staged
@@ -28,10 +28,23 @@ _CELLS = 400_000
 
 
 def shingles(hashes: np.ndarray, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles of a text; a shorter text is one shingle, an empty one none."""
+    """Sorted hashes of the n-word shingles of a text, weighted by how often each occurs; a shorter text is one shingle, an empty one none.
+
+    Whole weights are unit layers (see dart_signatures()): the k-th occurrence of a shingle is an element
+    of its own, so the plain Jaccard similarity of two results is the weighted one of the texts.
+    """
     if not len(hashes):
         return np.empty(0, np.uint64)
-    return np.unique(gram_hashes(hashes, n) if len(hashes) >= n else gram_hashes(hashes, len(hashes)))
+    found, times = np.unique(gram_hashes(hashes, n) if len(hashes) >= n else gram_hashes(hashes, len(hashes)), return_counts=True)
+    return layered(found, times) if (times > 1).any() else found
+
+
+def layered(elements: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Sorted: an element for each unit of the elements' whole weights."""
+    index = np.repeat(np.arange(len(elements)), times)
+    level = np.arange(len(index)) - np.repeat(np.cumsum(times) - times, times)
+    with np.errstate(over="ignore"):
+        return np.sort(elements[index] + mix(level.astype(np.uint64)) * (level > 0))
 
 
 def dart_signatures(elements: np.ndarray, weights: np.ndarray | None, starts: np.ndarray, k: int) -> np.ndarray:
@@ -107,7 +120,7 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, set_id (128-bit hash of the shingle set), size (shingles), bands (array; none for a text without words)."""
+    """doc_id, set_id (128-bit hash of the weighted shingle set), size (shingles), bands (array; none for a text without words)."""
     schema = pa.schema([("doc_id", pa.int64()), ("set_id", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,12 +138,21 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 starts = np.concatenate([[0], np.cumsum([len(s) for s in part])])
                 b = band_hashes(dart_signatures(np.concatenate(part), None, starts, bands * rows), bands, rows)
                 lists = [x.tolist() if len(s) else [] for x, s in zip(b, part)]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in part], pa.binary()), pa.array([len(s) for s in part], pa.int64()), pa.array(lists, schema.field("bands").type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([set_name(s) for s in part], pa.binary()), pa.array([len(s) for s in part], pa.int64()), pa.array(lists, schema.field("bands").type)], schema=schema)
                 i = j
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id binary, size long, bands array<long>")
 
 
+def set_name(elements: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(elements.tobytes())
+
+
+def node_of(set_id: Column) -> Column:
+    """A set's number in links and components: 64 bits of its name."""
+    return F.conv(F.hex(F.substring(set_id, 1, 8)), 16, -10).cast("long")
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """node, shingles (sorted uint64 as bytes) of each row."""
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
@@ -138,9 +160,10 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch, texts in slices(batches, most=1_000_000):
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([shingles(known(split_words(t)), words).tobytes() for t in texts], pa.binary())], schema=schema)
+            sets = [shingles(known(split_words(t)), words) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(set_name(s)[:8], signed=True) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, shingles binary")
+    return docs.select("text").mapInArrow(run, "node long, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -194,11 +217,11 @@ def remaining_links(rest: DataFrame, sets: DataFrame, similarity: float, x_block
     documents are held against all of it. Both are dealt into blocks of about so many
     shingles, and each pair of blocks is a task's work: never a row for each pair.
     """
-    most = rest.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    rows = rest.join(most, "band").withColumn("y", F.col("label") != F.col("main"))
-    sums = rows.groupBy("band").agg(F.sum("size").alias("sx"), F.sum(F.when(F.col("y"), F.col("size")).otherwise(0)).alias("sy"))
-    sums = sums.select("band", F.ceil(F.col("sx") / x_block).cast("int").alias("nx"), F.greatest(F.lit(1), F.ceil(F.col("sy") / y_block).cast("int")).alias("ny"))
-    rows = rows.join(sums, "band")
+    most = rest.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"))
+    most = most.groupBy("band").agg(F.max_by(F.struct("label", "s"), F.struct("c", "label")).alias("main"), F.sum("s").alias("sx"), F.sum("c").alias("weight"))
+    blocks = lambda c, n: F.greatest(F.lit(1), F.ceil(c / n).cast("int"))
+    most = most.select("band", "weight", F.col("main.label").alias("main"), blocks(F.col("sx"), x_block).alias("nx"), blocks(F.col("sx") - F.col("main.s"), y_block).alias("ny"))
+    rows = join_by_key(rest.select("band", "node", "label"), staged(most), "band", "weight").withColumn("y", F.col("label") != F.col("main"))
     deal = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     xs = rows.select("band", "node", "label", deal("nx", 1).alias("i"), all_("ny").alias("j"), F.lit(False).alias("y"))
@@ -228,47 +251,57 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, firsts: int = 2) -> DataFrame:
     """doc_id, class_id, kept for each row of docs (doc_id, text, others unread).
 
-    Documents are linked if the sets of their words-word shingles have a Jaccard
-    similarity of similarity or more (words as in common.WORD); class_id is the
-    smallest doc_id of the documents linked directly or through others, and that
-    document is kept. With 36 bands of 6 rows a link of exactly 0.8 is missed with
-    probability 2e-5. A text of fewer words is one shingle; texts without words (or
-    null) are one class. Rows that repeat a doc_id are classed by their own text; a
-    row without doc_id gets the class of equal sets, or null if it has no other.
-
-    Documents of equal sets are one from the start. In each band bucket all are held
-    against the bucket's smallest, then, where several classes are left, against a few
-    more of its smallest, and at last those outside the bucket's main class against
-    all of it, in blocks. So no pair of different classes in a bucket stays untried,
-    and verification is exact on all shingles.
+    Documents are linked if the Jaccard similarity of their words-word shingles, each
+    weighing as often as it occurs, is similarity or more (words as in common.WORD);
+    class_id is the smallest doc_id of the documents linked directly or through others,
+    and that document is kept. With 36 bands of 6 rows a link of exactly 0.8 is missed
+    with probability 2e-5. A text of fewer words is one shingle; texts without words (or
+    null) are one class. Every row is classed by its own text, also where rows repeat a
+    doc_id; a row without doc_id gets the class of its text, or null if no row of the
+    class has one. The order of rows changes nothing. A very long text is a large set.
+
+    Texts of equal shingles are one set from the start. In each band bucket all sets are
+    held against one, then, where several classes are left, against a few more, and at
+    last those outside the bucket's main class against all of it, in blocks. So no pair
+    of different classes in a bucket stays untried, and verification is exact on all
+    shingles. Buckets that many sets share are never gathered: see common.join_by_key().
     """
     signs = staged(signed(docs, words, bands, rows))
-    groups = staged(signs.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.min_by("bands", "doc_id").alias("bands")))
-    at = groups.filter(F.col("rep").isNotNull()).select(F.explode("bands").alias("band"), F.col("rep").alias("node"), "size")
+    groups = staged(signs.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.max("bands").alias("bands")).withColumn("node", node_of(F.col("set_id"))))
+    at = groups.filter(F.col("rep").isNotNull()).select(F.explode("bands").alias("band"), "node", "size")
     full = at.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
-    members = staged(join_by_key(at, staged(full), "band", "n").filter("n is not null").select("band", "node", "size", "first"))
-    nodes = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = staged(shingle_sets(docs.join(nodes, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]), words))
-    pairs = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    members = staged(join_by_key(at, staged(full), "band", "n").filter("n is not null").select("band", "node", "size", F.col("first").alias("last")))
+    reps = groups.join(members.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    # several texts of one doc_id are several sets
+    texts = docs.join(reps, "doc_id", "left_semi").select("doc_id", "text", F.xxhash64("text").alias("_text")).dropDuplicates(["doc_id", "_text"])
+    sets = staged(shingle_sets(texts.select("text"), words))
+    pairs = members.filter("node <> last").select(F.col("last").alias("a"), F.col("node").alias("b")).distinct()
     labels = components(staged(verified(pairs, sets, similarity)))
 
-    def undecided(last: DataFrame) -> DataFrame:
-        """Members of buckets that have several classes among the documents after the last one that was held against all."""
-        known = members.select("band", "node", "size").join(last, "band").filter("node > last").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = known.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
-        return staged(known.join(mixed, "band", "left_semi"))
+    def undecided(rows: DataFrame) -> DataFrame:
+        """Those rows (band, node, size, last) whose bucket has several classes among the sets after the last one that was held against all; with their label."""
+        known = rows.filter("node > last").join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label"))
+        known = staged(known)
+        mixed = known.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y").select("band", "m")
+        return staged(join_by_key(known, staged(mixed), "band", "m").filter("m is not null").drop("m"))
 
-    rest = undecided(members.groupBy("band").agg(F.min("first").alias("last")))
+    rest = undecided(members)
     if not rest.isEmpty():
-        order = F.row_number().over(Window.partitionBy("band").orderBy("node"))
-        heads = staged(rest.withColumn("order", order).filter(F.col("order") <= firsts).select("band", F.col("node").alias("a"), F.col("label").alias("la")))
-        pairs = rest.join(heads, "band").filter("node > a and label <> la").select("a", F.col("node").alias("b")).distinct()
+        nth = F.row_number().over(Window.partitionBy("band").orderBy("node"))
+        heads = rest.withColumn("nth", nth).filter(F.col("nth") <= firsts).groupBy("band").agg(F.array_sort(F.collect_list(F.struct("node", "label"))).alias("heads"))
+        heads = heads.join(rest.groupBy("band").agg(F.count(F.lit(1)).alias("m")), "band")
+        rest = staged(join_by_key(rest, staged(heads), "band", "m").drop("m"))
+        head = F.explode(F.transform("heads", lambda h: F.struct(h["node"].alias("a"), h["label"].alias("la"))))
+        pairs = rest.select("node", "label", head.alias("h")).filter("node > h.a and label <> h.la").select("h.a", F.col("node").alias("b")).distinct()
         labels = merged(labels, staged(verified(pairs, sets, similarity)))
-        rest = undecided(heads.groupBy("band").agg(F.max("a").alias("last")))
+        rest = undecided(rest.select("band", "node", "size", F.element_at("heads", -1)["node"].alias("last")))
         if not rest.isEmpty():
             labels = merged(labels, staged(remaining_links(rest, sets, similarity)))
-    classes = groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", "n", F.coalesce("label", "rep").alias("class_id"))
-    found = join_by_key(signs.select("doc_id", "set_id"), staged(classes), "set_id", "n")
+    # a class is named by its smallest doc_id
+    names = groups.select("node", "rep").join(labels, "node").groupBy("label").agg(F.min("rep").alias("class_id"))
+    labelled = labels.join(names, "label").select("node", "class_id")
+    classes = staged(groups.join(labelled, "node", "left").select("set_id", "n", F.coalesce("class_id", "rep").alias("class_id")))
+    found = join_by_key(signs.select("doc_id", "set_id"), classes, "set_id", "n")
     return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 

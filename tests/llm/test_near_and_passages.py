@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -36,10 +37,11 @@ def test_dart_signatures_estimate_jaccard():
 
 def brute_classes(texts, n=5, least=0.8):
     """Classes by comparing all pairs."""
-    sets = []
+    sets = []  # bags: a shingle's k-th occurrence is an element
     for _, t in texts:
         w = split_words(t or "")
-        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()})
+        bag = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else Counter({tuple(w)} - {()})
+        sets.append({(g, k) for g, times in bag.items() for k in range(times)})
     root = list(range(len(texts)))
 
     def find(i):
@@ -109,6 +111,30 @@ def test_near_classes_of_nothing_and_odd_rows(spark):
     assert len(got) == len(ROWS) and by[9] == by[4] == by[7] == 4 and by[5] == by[3] == 3 and by[None] == 3
 
 
+def test_texts_that_share_a_doc_id_in_any_order(spark):
+    rng = random.Random(9)
+    base, other = words(rng, 80), words(rng, 80)
+    rows = [(2, " ".join(base)), (2, " ".join(other)), (1, " ".join(edited(rng, other, 1))), (3, " ".join(edited(rng, base, 1))), (None, " ".join(base)), (3, " ".join(other)), (7, "la " * 9 + "lu"), (8, "la " * 40 + "lu")]
+    rows += [(9, " ".join(base))] * 30
+    seen = []
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        got = near_dedup.near_classes(frame(spark, order).repartition(3)).collect()
+        seen.append(sorted((str(r.doc_id), r.class_id, r.kept) for r in got))
+    assert seen[0] == seen[1] == seen[2]
+    want = brute_classes([(i, t) for i, (_, t) in enumerate(rows)])
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        low[want[i]] = min((x for x in (low.get(want[i]), d) if x is not None), default=None)
+    assert seen[0] == sorted((str(d), low[want[i]], d == low[want[i]]) for i, (d, _) in enumerate(rows))
+    assert {r.class_id for r in near_dedup.near_classes(frame(spark, rows)).filter("doc_id in (7, 8)").collect()} == {7, 8}  # the same shingles, other weights
+
+
+def test_whole_weights_are_layers():
+    e = np.array([5, 9, 11], np.uint64)
+    x, y = near_dedup.layered(e, np.array([3, 1, 2])), near_dedup.layered(e, np.array([1, 1, 4]))
+    assert len(x) == 6 and len(np.intersect1d(x, y)) == 1 + 1 + 2
+
+
 def test_near_query(spark, sf_dir):
     texts = [(r.doc_id, r.text) for r in documents(spark, sf_dir).collect()]
     assert {r.doc_id: r.class_id for r in near_dedup.query(spark, sf_dir).collect()} == brute_classes(texts)
