@@ -3,8 +3,9 @@
 Only suffixes at anchors enter the trees: in each window of 20 words the 8-word gram
 of least hash is an anchor, so equal windows have equal anchors at equal places, and
 an anchor gram that occurs once in the corpus lies in no repeat. The suffixes at
-recurring anchors are split by their first 8 words, and groups too large for a task's
-memory further. Each group is a subtree: its suffixes sorted by words, with the
+recurring anchors are split by prefixes of variable length: the first 8 words, for groups
+too large for a task the first 20, and by document where as many share all of these.
+Each group is a subtree: its suffixes sorted by words, with the
 common prefix of neighbours, which gives the nodes of each depth. A window that
 begins o words before its anchor repeats where suffixes meet in a node at least 20 - o
 words deep and agree in the o words to the left.
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from docloom.llm.common import WordHashes, column, discard, documents, gram_hashes, join_by_key, mix, release, slices, split_words, staged, table
 
 WINDOW, GRAM = 20, 8
-#: Suffixes in a group before it is split.
-GROUP = 50_000
+#: Suffixes in a group before its prefix grows.
+GROUP = 10_000
+#: Suffixes whose groups are built at a time.
+BATCH = 50_000
 
 
 def minimizers(words: np.ndarray, doc: np.ndarray | None = None, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
@@ -48,8 +51,8 @@ def minimizers(words: np.ndarray, doc: np.ndarray | None = None, window: int = W
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """gram (hash), doc_id, pos of each anchor of each row."""
-    schema = "gram long, doc_id long, pos int"
+    """gram (hash), doc_id, pos of each anchor of each row, and deep, a hash of the suffix's first 20 words."""
+    schema = "gram long, deep int, doc_id long, pos int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, out = WordHashes(), table(schema)
@@ -64,8 +67,10 @@ def anchors(docs: DataFrame) -> DataFrame:
             if len(at):
                 begin = np.cumsum(n) - n
                 grams = gram_hashes(hashes, GRAM)[at]
+                # near a document's end it reads on into the next: such suffixes are merely split otherwise
+                deep = gram_hashes(np.append(hashes, np.zeros(WINDOW, np.uint64)), WINDOW)[at]
                 ids = column(batch, "doc_id").take(pa.array(doc[at]))
-                yield out({"gram": grams.view(np.int64), "doc_id": ids, "pos": (at - begin[doc[at]]).astype(np.int32)})
+                yield out({"gram": grams.view(np.int64), "deep": (deep >> np.uint64(32)).astype(np.uint32).view(np.int32), "doc_id": ids, "pos": (at - begin[doc[at]]).astype(np.int32)})
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -197,7 +202,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held.append(pa.Table.from_batches([batch]))
         size += batch.num_rows
-        if size >= GROUP:
+        if size >= BATCH:
             rows = pa.concat_tables(held)
             part = rows.column("part").to_numpy()
             other = part[::-1] != part[-1]
@@ -210,12 +215,13 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+SPANS = "array<struct<first:int,after:int>>"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = table(KEPT)
     for batch, texts in slices(batches):
-        removed, shas, ns = [], [], []
+        removed, shas, ns, spans = [], [], [], []
         for t, repeats in zip(texts, column(batch, "repeats").to_pylist()):
             words = split_words(t)
             ns.append(len(words))
@@ -228,18 +234,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone = np.cumsum(steps[:-1]) > 0
             removed.append(int(gone.sum()))
             shas.append(_digest([w for w, g in zip(words, gone.tolist()) if not g]))
-        yield out({"doc_id": column(batch, "doc_id"), "n_words": ns, "n_removed": removed, "kept_sha256": shas})
+            edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
+            spans.append([{"first": a, "after": b} for a, b in zip(edges[::2], edges[1::2])])
+        rows = out({"doc_id": column(batch, "doc_id"), "n_words": ns, "n_removed": removed, "kept_sha256": shas})
+        yield rows.append_column("spans", pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))))
 
 
 def deduplicated(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """KEPT for each row of docs (doc_id, text, others unread).
+    """KEPT for each row of docs (doc_id, text, others unread), and spans: the words removed, from first to before after.
 
     A window is 20 consecutive words (common.WORD) of a document. A word goes if a
     window over it has the words of another that starts earlier: in a smaller doc_id,
     or in the same document before. Windows are judged on the input. A null or empty
     text has no words; texts under 20 words lose none. Rows that repeat a doc_id are
     the same document: equal starts are equally early. A row without doc_id loses
-    nothing and makes nothing a repeat.
+    nothing and makes nothing a repeat. A very long text is many suffixes of bounded length.
 
     Words are compared by 32 bits of their hash, so of 4 billion pairs of windows that
     differ in one word, one would count as equal.
@@ -247,12 +256,21 @@ def deduplicated(docs: DataFrame, group: int = GROUP) -> DataFrame:
     spark = docs.sparkSession
     found = staged(anchors(docs.filter("doc_id is not null")))
     counts = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # a gram that more than `group` suffixes share is split by document; its pieces are merged below
-    pieces = F.when(F.col("n") > group, 1 + F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / group))).otherwise(0).cast("int")
     counts = staged(counts)
-    hits = join_by_key(found, counts, "gram", "n").filter("n is not null").select("doc_id", F.struct("pos", pieces.alias("piece")).alias("hit"))
-    hits = staged(hits.groupBy("doc_id").agg(F.collect_list("hit").alias("hits")))
+    hits = join_by_key(found, counts, "gram", "n").filter("n is not null")
     any_split = not counts.filter(F.col("n") > group).isEmpty()
+    if any_split:
+        # prefixes of 20 words where more than `group` suffixes share 8, and parts by document where as many share 20; what the pieces miss of each other is merged below
+        hits = staged(hits)
+        large = hits.filter(F.col("n") > group).withColumn("prefix", F.xxhash64("gram", "deep"))
+        deeper = staged(large.groupBy("prefix").agg(F.count(F.lit(1)).alias("m")))
+        part = F.xxhash64("prefix", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / group)))
+        large = join_by_key(large, deeper, "prefix", "m").withColumn("piece", (1 + F.pmod(part, F.lit(1 << 30))).cast("int"))
+        hits = hits.filter(F.col("n") <= group).withColumn("piece", F.lit(0)).select("doc_id", "pos", "piece").unionByName(large.select("doc_id", "pos", "piece"))
+    else:
+        hits = hits.select("doc_id", "pos", F.lit(0).alias("piece"))
+    hits = hits.select("doc_id", F.struct("pos", "piece").alias("hit"))
+    hits = staged(hits.groupBy("doc_id").agg(F.collect_list("hit").alias("hits")))
     discard(found)
     release(spark)
     scanned = staged(docs.select("doc_id", "text").join(hits, "doc_id", "left").mapInArrow(_scan, SCANNED))
@@ -266,10 +284,10 @@ def deduplicated(docs: DataFrame, group: int = GROUP) -> DataFrame:
         again = join_by_key(pieces.select("window", "doc_id", "start", "mask"), staged(first), "window", "n").filter(F.struct("doc_id", "start") > F.col("first"))
         repeats = repeats.filter("window is null").select("doc_id", "start", "mask").unionByName(again.select("doc_id", "start", "mask"))
     repeats = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("start", "mask")).alias("repeats"))
-    cut = open_.select("doc_id", "text").join(repeats, "doc_id", "left").select("doc_id", "text", "repeats").mapInArrow(_cut, KEPT)
-    whole = scanned.filter("kept_sha256 is not null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
+    cut = open_.select("doc_id", "text").join(repeats, "doc_id", "left").select("doc_id", "text", "repeats").mapInArrow(_cut, f"{KEPT}, spans {SPANS}")
+    whole = scanned.filter("kept_sha256 is not null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.array().cast(SPANS).alias("spans"))
     return whole.unionByName(cut)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(documents(spark, sf_dir))
+    return deduplicated(documents(spark, sf_dir)).drop("spans")
