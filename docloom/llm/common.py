@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +36,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the shared one that the session names in spark.checkpoint.dir; where it names none (tests), a temporary folder."""
+    """A new folder below the shared one that the session names in spark.checkpoint.dir. A local session that names none (tests) gets a temporary folder; on a cluster that is an error, since machines would not share it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    alone = re.match(r"local($|\[)", spark.sparkContext.master)
     if not base:
+        if not alone:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    if "://" not in base and base.startswith("/"):
+    if alone and base.startswith("/"):
         base = f"file://{base}"
     return f"{base.rstrip('/')}/docloom-{uuid.uuid4().hex}"
 
@@ -128,18 +136,27 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of the batches with few characters (or one document), with their texts; null texts are empty."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of the batches with few bytes of text (or one document), with their texts; null texts are empty. When all are done, memory goes back to the system."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-        start = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t or "") > most:
-                yield batch.slice(start, i - start), [x or "" for x in texts[start:i]]
-                start, size = i, 0
-            size += len(t or "") + 1
-        if start < len(texts):
-            yield batch.slice(start), [x or "" for x in texts[start:]]
+        texts = batch.column(batch.schema.get_field_index(text))
+        upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        start = 0
+        while start < batch.num_rows:
+            before = int(upto[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(upto, before + most, "right")))
+            yield batch.slice(start, end - start), [x or "" for x in texts.slice(start, end - start).to_pylist()]
+            start = end
+    tidy()
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system: Python workers outlive their tasks, beside those of the next ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

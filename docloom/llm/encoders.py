@@ -9,6 +9,7 @@ go through the library whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -21,6 +22,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Characters outside these make a text go through the library whole.
 _UNCOMMON = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ɏ‐-‧‰-⁞₠-₿]|<\\|")
+#: Latin-1 bytes of the characters that are plain.
+_PLAIN = bytes([9, 10, 13, *range(32, 127), *range(0xA1, 0xAD), *range(0xAE, 256)])
 #: Byte-level vocabulary: a run of non-spaces with the one space before it, or spaces.
 _CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s")
 
@@ -36,20 +39,39 @@ _LETTERS = _byte_letters()
 _MARKS = {",", ".", ";", ":", "!", "?"}
 
 
+#: What the two vocabularies' files say of normalisation and pre-tokens (fixed values).
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _WORD_PATTERN}, "behavior": "Removed", "invert": True}, BYTE_LEVEL]}
+
+
+def uncommon(text: str) -> bool:
+    try:
+        return bool(text.encode("latin-1").translate(None, _PLAIN)) or "<|" in text
+    except UnicodeEncodeError:
+        return bool(_UNCOMMON.search(text))
+
+
 class Encoder:
     """Ids of texts for a tokenizer file, without special tokens added; remembers up to limit chunks and as many pre-tokens."""
 
     #: The two vocabularies' own patterns for pre-tokens (fixed values).
-    WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    WORDS = regex.compile(_WORD_PATTERN)
     BYTES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
-    def __init__(self, path: str, limit: int = 600_000) -> None:
+    def __init__(self, path: str, limit: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.by_words = self.tok.normalizer is not None
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        self.by_words = form["normalizer"] is not None
+        steps = (form["normalizer"], form["pre_tokenizer"])
+        # any other kind of file goes through the library whole
+        self.plain = steps in ((NORMAL, SPLIT), (None, BYTE_LEVEL | {"use_regex": True})) and all(t["content"].startswith("<|") for t in form["added_tokens"])
         self.cut = str.split if self.by_words else _CHUNKS.findall
         self.pre_tokens = (self.WORDS if self.by_words else self.BYTES).findall
         self.merge = self.tok.model.tokenize
@@ -58,7 +80,7 @@ class Encoder:
         self.limit = limit
 
     def chunks(self, text: str) -> list[str] | None:
-        return None if _UNCOMMON.search(text) else self.cut(text)
+        return self.cut(text) if self.plain and not uncommon(text) else None
 
     def pre_token(self, p: str) -> bytes:
         letters = p if p.isascii() and p.isalpha() else p.encode().decode("latin-1").translate(_LETTERS)
@@ -100,6 +122,11 @@ class Encoder:
             ids = map(self.known.__getitem__, chunks)
         return b"".join(ids)
 
+    def forget(self) -> None:
+        """Frees what is remembered: workers outlive their tasks."""
+        self.known.clear()
+        self.parts.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         return list(map(self.encode_one, texts))
@@ -113,7 +140,7 @@ class WholeTokenCounter:
     others are merged by the library's model. Counts of words are remembered.
     """
 
-    def __init__(self, path: str, limit: int = 500_000) -> None:
+    def __init__(self, path: str, limit: int = 250_000) -> None:
         self.encoder = Encoder(path)
         self.parts: dict[str, int] = dict.fromkeys(prove(path), 1)
         self.whole = len(self.parts)
@@ -149,6 +176,11 @@ class WholeTokenCounter:
             n = map(self.counts.__getitem__, words)
         return sum(n)
 
+    def forget(self) -> None:
+        """Frees what is remembered besides the proven words."""
+        self.counts.clear()
+        self.parts = dict(list(self.parts.items())[: self.whole])
+
     def count(self, texts: list[str]) -> list[int]:
         return list(map(self.count_one, texts))
 

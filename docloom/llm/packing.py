@@ -103,7 +103,7 @@ def pack(lengths: list[int], capacity: int = 2048, linear: float = 1.0, quadrati
     return pieces
 
 
-def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, group_tokens: int = 8_000_000) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, group_tokens: int = 4_000_000) -> DataFrame:
     """Pieces of the token sequences of all rows, packed; see pack() for the method and SCHEMA for the columns.
 
     A document's tokens are the library's ids without special tokens, then end_id; a
@@ -147,6 +147,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 204
                     yield from flush()
         if ids:
             yield from flush()
+        enc.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 

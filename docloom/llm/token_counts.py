@@ -26,6 +26,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
         for batch, texts in slices(batches):
             n = count.count(texts)
             yield out({"doc_id": column(batch, "doc_id"), "n_bytes": [len(t) if t.isascii() else len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]})
+        count.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 

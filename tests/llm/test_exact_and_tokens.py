@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 import zlib
 
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 from docloom.llm import exact_dedup, packing, token_counts, token_files
 from docloom.llm.common import documents, split_words, work_dir
 from docloom.llm.encoders import Encoder, prove, tokenizer_file
-from docloom.llm.range_coder import BLOCK, read_ids, write_ids
+from docloom.llm.range_coder import read_ids, write_ids
 from tests.oracle import assert_same
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+BLOCK = 4096
 #: Nulls, empty and odd texts, ties and repeated rows.
 ROWS = [
     (5, "a  b\tc", "en", "s", 1), (3, "a b c", "en", None, 1), (9, None, None, "s", None), (4, "", "en", "s", 0), (7, " ", "en", "s", 1), (7, " ", "en", "s", 1), (None, "a b c", "de", "t", 5),
@@ -50,6 +52,18 @@ def test_index_persists(spark, docs):
     assert "SortMergeJoin" in plan
 
 
+def test_batches_through_one_index(spark, docs):
+    """Cut anywhere, the result is that of one batch, and the index is that of one call after another."""
+    whole = sorted(map(str, exact_dedup.dedup(docs, exact_dedup.DigestIndex(spark, buckets=2)).collect()))
+    for upto in ((4,), (3, 5, 9), (100,), (-1,)):
+        index = exact_dedup.DigestIndex(spark, buckets=2)
+        assert sorted(map(str, exact_dedup.dedup(docs, index, upto).collect())) == whole
+        assert index.read().count() == index.read().select("digest").distinct().count()
+        assert not any(r.kept for r in exact_dedup.dedup(docs, index).collect())
+        index.drop()
+        assert not spark.catalog.tableExists(index.table)
+
+
 def test_exact_dedup_of_nothing(spark, docs):
     assert exact_dedup.dedup(docs.limit(0), exact_dedup.DigestIndex(spark, buckets=2)).collect() == []
 
@@ -155,10 +169,37 @@ def test_packing_balances_cost():
 def test_range_coder_round_trip(n):
     rng = np.random.default_rng(n)
     for ids in (rng.integers(0, 65536, n), rng.zipf(1.2, n) % 49408, np.repeat(rng.integers(0, 65536, n // 50 + 1), 50)[:n], np.full(n, 65535)):
-        data = write_ids(ids.astype(np.uint32))
+        data = write_ids(ids.astype(np.uint32), BLOCK)
         assert (read_ids(data) == ids).all()
 
 
+def test_range_coder_many_lanes_and_blocks():
+    rng = np.random.default_rng(5)
+    ids = np.concatenate([rng.zipf(1.3, 400_000) % 49408, rng.integers(0, 65536, 30_000), np.tile(np.arange(1000), 200)]).astype(np.uint32)
+    assert (read_ids(write_ids(ids)) == ids).all() and (read_ids(write_ids(ids, 250_000)) == ids).all()
+
+
+def test_range_coder_beats_order_0_and_zlib(spark):
+    """On the ids of real text: fewer bits than their static order-0 entropy, and than zlib on 16-bit ids."""
+    e = Encoder(tokenizer_file("word_bpe_49k.json"))
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy("doc_id").limit(2000).collect()]
+    ids = np.frombuffer(b"".join(x + b"\x02\0\0\0" for x in e.encode(texts)), np.uint32)
+    n = np.unique(ids, return_counts=True)[1] / len(ids)
+    data = write_ids(ids)
+    assert (read_ids(data) == ids).all()
+    bits = 8 * len(data) / len(ids)
+    assert bits < -(n * np.log2(n)).sum() and bits < 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids)
+
+
+def test_other_tokenizer_files_go_through_the_library(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tok = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    tok.save(str(tmp_path / "other.json"))
+    got = Encoder(str(tmp_path / "other.json")).encode_one("it is so")
+    assert np.frombuffer(got, np.uint32).tolist() == tok.encode("it is so", add_special_tokens=False).ids
+
 def test_range_coder_learns_and_checks():
     ids = np.tile(np.arange(300, dtype=np.uint32) * 7, 200)
     data = write_ids(ids)
@@ -185,3 +226,33 @@ def test_token_files(spark, docs):
     assert manifest.count() > 2
     empty = work_dir(spark)
     assert token_files.read(spark, empty, token_files.write(docs.limit(0), empty, path)).collect() == []
+
+
+def test_token_files_query(spark, sf_dir):
+    tok = Encoder(tokenizer_file("word_bpe_49k.json")).tok
+    want, at = [], 0
+    for r in documents(spark, sf_dir).orderBy("doc_id").collect():
+        ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 2]
+        want.append((r.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(tuple(r) for r in token_files.query(spark, sf_dir).collect()) == want
+
+
+def test_a_missing_or_short_token_file_is_an_error(spark, docs):
+    folder = work_dir(spark)
+    manifest = token_files.write(docs, folder, tokenizer_file("word_bpe_49k.json"), file_tokens=100, tasks=3)
+    name = manifest.orderBy("file").first().file
+    path = os.path.join(folder.removeprefix("file://"), name)
+    data = open(path, "rb").read()
+    os.remove(path)
+    with pytest.raises(ValueError, match=name):
+        token_files.read(spark, folder, manifest)
+    open(path, "wb").write(token_files.pack_file([3], [1], np.array([2], np.uint32)))
+    if manifest.filter(F.col("file") == name).first().n_docs != 1:
+        with pytest.raises(ValueError, match=name):
+            token_files.read(spark, folder, manifest)
+    open(path, "wb").write(data[:-5])
+    with pytest.raises(Exception, match="cut short|damaged"):
+        token_files.read(spark, folder, manifest).collect()
+    with pytest.raises(ValueError):
+        token_files.write(docs, "/no/scheme", tokenizer_file("word_bpe_49k.json"))

@@ -51,6 +51,33 @@ def test_unspaced_text_is_read_to_its_end():
     assert model.scores([text])[0].argmax() == 1
 
 
+def test_ngrams_by_brute_force():
+    for w in ("a", "ab", "hello", "éàß", "漢字😀x", "ĳ" * 9):
+        b = f"<{w}>"
+        want = [b[i : i + n] for n in (1, 2, 3, 4) for i in range(len(b) - n + 1) if b[i : i + n] not in ("<", ">")] + [b] * (len(b) > 4)
+        assert sorted(language_id.subwords(w, 65536)) == sorted(zlib.crc32(g.encode()) % 65536 for g in want)
+
+
+def test_digits_that_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "\u00b2 \u00bd", None), (2, "\u2167 \u2462", None), (3, "un mot", "fr"), (4, "a word", "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs).collect()}
+    assert got[1] == got[2] == "und" and {got[3], got[4]} <= {"fr", "en"}
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark):
+    one = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    same = spark.range(20_000).select(F.lit(one).cast("long").alias("doc_id"), F.lit("one and the same").alias("text"), F.lit("en").alias("lang"))
+    none = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("fr").alias("lang"))
+    few = spark.createDataFrame([(i, f"wort {i}", "de") for i in range(60)], "doc_id long, text string, lang string")
+    params = language_id.Params(max_rows=400)
+    got = language_id.sampled(same.unionByName(none).unionByName(few), params).groupBy("lang").count().collect()
+    counts = {r.lang: r["count"] for r in got}
+    assert counts["en"] == counts["fr"] == 133 and 0 < counts["de"] <= 60
+    again = language_id.sampled(few.unionByName(none).unionByName(same).repartition(7), params)
+    assert {r.text for r in again.filter("lang = 'fr'").collect()} == {r.text for r in language_id.sampled(none.unionByName(same).unionByName(few), params).filter("lang = 'fr'").collect()}
+    assert len(language_id.sampled(few, language_id.Params(max_langs=0)).collect()) == 0
+
+
 def brute_rules(text):
     w = split_words(text or "")
     grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
@@ -152,3 +179,19 @@ def test_mix_large_pattern_uses_ranges(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     got = mixing.mix(docs).groupBy("source_size").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
     assert all(abs(r.t - r.g) <= 7 for r in got)
+
+
+def test_mix_does_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice((None, 1, 2, 3, i)), "w " * rng.randint(0, 9) + str(rng.randint(0, 3)), "en", rng.choice("abc"), 1) for i in range(300)]
+    rows += [(5, "x y z", "en", "a", 1)] * 200
+    docs = spark.createDataFrame(rows, SCHEMA)
+    seen = []
+    for parts in (1, 3, 8):
+        got = mixing.mix(docs.repartition(parts)).collect()
+        seen.append(sorted((str(r.doc_id), r.size, r.sources, r.copies) for r in got))
+        out = mixing.mixed(docs.repartition(parts))
+        assert out.count() == sum(r.copies for r in got)
+    assert seen[0] == seen[1] == seen[2]
+    with pytest.raises(ValueError):
+        mixing.mix(docs, max_patterns=2)
