@@ -173,6 +173,33 @@ def ablation(chunks: DataFrame) -> DataFrame:
     return chunks.select("strategy").distinct().select("strategy", domains).join(found, by, "left").fillna(0)
 
 
+def fragmentation(references: DataFrame) -> DataFrame:
+    """One row: tables, fragmented and rate. references: element_id, chunk_id, row_group of the chunks that a table's element is in; a table is fragmented if it is in several and one of them is no group of its rows."""
+    by = references.groupBy("element_id").agg(F.count_distinct("chunk_id").alias("n"), F.bool_and("row_group").alias("grouped"))
+    sums = by.agg(F.count(F.lit(1)).alias("tables"), F.count_if((F.col("n") > 1) & ~F.col("grouped")).alias("fragmented"))
+    return sums.withColumn("rate", F.when(F.col("tables") == 0, 0.0).otherwise(F.col("fragmented") / F.when(F.col("tables") > 0, F.col("tables"))))
+
+
+def chunks(elements: DataFrame, config: Chunking) -> DataFrame:
+    """Chunks of cleaned elements by the strategy that config names, with ordinal and chunk_id: document_id, text, token_count, overlap_tokens, kind (text, table or semantic).
+
+    Fixed strategies cut blocks into windows and tables by rows; semantic ones join sentences of each block's elements.
+    """
+    columns = ["document_id", "_block", "_part", "text", "token_count", "overlap_tokens", "kind"]
+    rows = blocks(elements, config)
+    tables = rows.filter((F.col("kind") == "table") & F.lit(config.table_aware))
+    cut = table_chunks(tables, config).join(tables.select("document_id", "ordinal", F.col("block").alias("_block")), ["document_id", "ordinal"])
+    cut = cut.select("document_id", "_block", F.col("group").alias("_part"), "text", "token_count", F.lit(0).alias("overlap_tokens"), F.lit("table").alias("kind"))
+    if config.strategy == "semantic":
+        units = rows.filter((F.col("kind") != "table") | F.lit(not config.table_aware))
+        named = units.select(F.to_json(F.array(F.col("document_id"), F.col("block").cast("string"))).alias("document_id"), "ordinal", "text")
+        parts = F.from_json("document_id", "array<string>")
+        whole = semantic_chunks(named, config).select(parts[0].alias("document_id"), parts[1].cast("long").alias("_block"), F.col("group").alias("_part"), "text", "token_count", F.lit(0).alias("overlap_tokens"), F.lit("semantic").alias("kind"))
+    else:
+        whole = block_chunks(elements, config).select("document_id", F.col("block").alias("_block"), F.col("window").alias("_part"), "text", "token_count", "overlap_tokens", F.lit("text").alias("kind"))
+    return with_ids(whole.select(columns).unionByName(cut.select(columns)), ["_block", "_part"], config).drop("_block", "_part")
+
+
 def provenance_coverage(expected: DataFrame, covered: DataFrame, key: str = "element_id") -> DataFrame:
     """One row: the share of expected keys that covered has; 1 if none is expected."""
     hit = covered.select(key).distinct().withColumn("_hit", F.lit(1))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.config import Cleaning
@@ -39,6 +39,13 @@ def with_repeats(elements: DataFrame, config: Cleaning = Cleaning(), exact: bool
     return rows.join(again, ["document_id", "kind", "signature"], "left").withColumn("reason", reason if config.suppress_repeated_headers_footers else F.lit(None).cast("string")).drop("again")
 
 
+def eligible(config: Cleaning = Cleaning(), exact: bool = True) -> Column:
+    """Whether an element (prepared, with reason) may be boilerplate: text on a page, of fitting length, marked as a candidate or with a telling phrase."""
+    text = F.col("clean_text")
+    evidence = F.coalesce(F.col("boilerplate_candidate"), F.lit(False)) | contains_any(casefold(text, exact), config.boilerplate_markers)
+    return F.col("kind").isin("text", "ocr_text") & F.col("page_number").isNotNull() & F.length(text).between(config.dedup_min_chars, config.dedup_max_chars) & evidence & F.col("reason").isNull()
+
+
 CLUSTER = "document_id string, ordinal int, matched_ordinal int, similarity double"
 
 
@@ -48,10 +55,7 @@ def boilerplate(elements: DataFrame, config: Cleaning = Cleaning(), exact: bool
     Greedy in the order of elements, so it runs document by document, over the
     eligible elements only, with their token sets made by the JVM.
     """
-    text = F.col("clean_text")
-    evidence = F.coalesce(F.col("boilerplate_candidate"), F.lit(False)) | contains_any(casefold(text, exact), config.boilerplate_markers)
-    eligible = F.col("kind").isin("text", "ocr_text") & F.col("page_number").isNotNull() & F.length(text).between(config.dedup_min_chars, config.dedup_max_chars) & evidence & F.col("reason").isNull()
-    rows = elements.filter(eligible).select("document_id", "ordinal", "page_number", comparison_tokens(text, exact).alias("tokens"))
+    rows = elements.filter(eligible(config, exact)).select("document_id", "ordinal", "page_number", comparison_tokens(F.col("clean_text"), exact).alias("tokens"))
 
     def clusters(part: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, frozenset, list[tuple[int, float]], set]] = []

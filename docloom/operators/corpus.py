@@ -60,10 +60,12 @@ def row_fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def manifest_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """Entries of manifest (relative_path, checksum_sha256) whose file is missing or has another checksum, with the reason."""
+    """Entries of manifest (relative_path, checksum_sha256) whose path leaves the root, or whose file is missing or has another checksum, with the reason."""
+    from docloom.operators.manifest import escapes
+
     there = files.select("relative_path", F.col("checksum_sha256").alias("found"))
     joined = manifest.join(there, "relative_path", "left")
-    reason = F.when(F.col("found").isNull(), "missing").when(F.col("found") != F.col("checksum_sha256"), "checksum")
+    reason = F.when(escapes(F.col("relative_path")), "outside_root").when(F.col("found").isNull(), "missing").when(F.col("found") != F.col("checksum_sha256"), "checksum")
     return joined.withColumn("reason", reason).filter("reason is not null").select("relative_path", "reason")
 
 

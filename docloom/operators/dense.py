@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.errors import IndexingError
@@ -16,8 +17,8 @@ from docloom.operators.sparse import top_k
 MAX_QUERIES = 1000
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", same: str | None = None) -> DataFrame:
-    """query_id, key, score, rank: the k most similar vectors (key, vector) of each query (query_id, vector); same: a column in which both must agree.
+def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", same: str | None = None, where: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """query_id, key, score, rank: the k most similar vectors (key, vector) of each query (query_id, vector); same: a column in which both must agree; where: a condition on vectors' attributes and queries' filters (structs).
 
     A block of about MAX_QUERIES queries at a time is held against every vector where
     the vector lies; each task keeps its own k best before anything is shuffled (a
@@ -27,15 +28,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id"
     n = queries.count()
     blocks = 1 if n <= MAX_QUERIES else -(-n // (MAX_QUERIES * 9 // 10))  # blocks by hash vary in size
     if blocks == 1:
-        return _block(vectors, queries, k, key, same)
+        return _block(vectors, queries, k, key, same, where)
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, (_block(vectors, queries.filter(block == b), k, key, same) for b in range(blocks)))
+    return reduce(DataFrame.unionByName, (_block(vectors, queries.filter(block == b), k, key, same, where) for b in range(blocks)))
 
 
-def _block(vectors: DataFrame, queries: DataFrame, k: int, key: str, same: str | None) -> DataFrame:
-    v = vectors.select(F.col(key), F.col("vector").alias("v"), norm(F.col("vector")).alias("nv"), *([F.col(same).alias("_v")] if same else []))
-    q = F.broadcast(queries.select("query_id", F.col("vector").alias("q"), norm(F.col("vector")).alias("nq"), *([F.col(same).alias("_q")] if same else [])))
+def _block(vectors: DataFrame, queries: DataFrame, k: int, key: str, same: str | None, where: Callable[[Column, Column], Column] | None) -> DataFrame:
+    v = vectors.select(F.col(key), F.col("vector").alias("v"), norm(F.col("vector")).alias("nv"), *([F.col(same).alias("_v")] if same else []), *(["attributes"] if where else []))
+    q = F.broadcast(queries.select("query_id", F.col("vector").alias("q"), norm(F.col("vector")).alias("nq"), *([F.col(same).alias("_q")] if same else []), *(["filters"] if where else [])))
     pairs = v.join(q, F.col("_v") == F.col("_q")) if same else v.crossJoin(q)
+    if where:
+        pairs = pairs.filter(where(F.col("attributes"), F.col("filters")))
     both = F.col("nv") * F.col("nq")
     value = F.when(both > 0, dot(F.col("v"), F.col("q")) / F.when(both > 0, both)).otherwise(0.0)
     return top_k(pairs.select("query_id", key, value.alias("score")), k, key)
@@ -45,6 +48,17 @@ def require_dimension(vectors: DataFrame, dim: int) -> None:
     require_none(vectors.filter(F.size("vector") != dim).select(F.size("vector").alias("size")), f"vectors are not of dimension {dim}", IndexingError)
 
 
+def vector_violations(vectors: DataFrame, dim: int, expected: DataFrame | None = None, key: str = "chunk_id") -> DataFrame:
+    """key, rule: vectors of another dimension, with values that are no numbers, of keys that come twice, and (expected: key) of keys that are missing or not asked for."""
+    rule = lambda rows, name: rows.select(key, F.lit(name).alias("rule"))
+    odd = F.exists("vector", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x) == float("inf")))
+    out = rule(vectors.filter(F.size("vector") != dim), "dimension").unionByName(rule(vectors.filter(odd), "not_finite"))
+    out = out.unionByName(rule(vectors.groupBy(key).count().filter("count > 1"), "duplicate"))
+    if expected is not None:
+        out = out.unionByName(rule(expected.join(vectors, key, "left_anti"), "missing")).unionByName(rule(vectors.join(expected, key, "left_anti"), "unknown"))
+    return out.distinct()
+
+
 def upsert(table: DataFrame, rows: DataFrame, key: str = "chunk_id") -> DataFrame:
     """table with rows in place of those of equal key."""
     return table.join(rows.select(key), key, "left_anti").unionByName(rows)

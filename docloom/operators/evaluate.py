@@ -114,6 +114,47 @@ def failures(rows: DataFrame) -> DataFrame:
     return found.filter(F.size("categories") > 0).select("example_id", "categories")
 
 
+def failure_histogram(found: DataFrame) -> DataFrame:
+    """category, n of failures()."""
+    return found.select(F.explode("categories").alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def observation_violations(records: DataFrame, observations: DataFrame) -> DataFrame:
+    """rule, key: why records and observations (both example_id, question) can't be evaluated together: one side alone, an example twice, another question."""
+    rule = lambda rows, name: rows.select(F.lit(name).alias("rule"), F.col("example_id").cast("string").alias("key"))
+    twice = lambda rows: rows.groupBy("example_id").count().filter("count > 1")
+    out = rule(records.join(observations, "example_id", "left_anti"), "without_observation").unionByName(rule(observations.join(records, "example_id", "left_anti"), "without_record"))
+    out = out.unionByName(rule(twice(records), "duplicate_record")).unionByName(rule(twice(observations), "duplicate_observation"))
+    both = records.select("example_id", F.col("question").alias("q")).join(observations.select("example_id", "question"), "example_id")
+    return out.unionByName(rule(both.filter(~F.col("q").eqNullSafe(F.col("question"))), "other_question")).distinct()
+
+
+#: The form of a judge's output, and its verdicts (fixed values).
+JUDGEMENT = "score double, verdict string, rationale string"
+VERDICTS = ("supported", "partially_supported", "unsupported", "relevant", "partially_relevant", "irrelevant")
+
+
+def judgement(output: Column) -> dict[str, Column]:
+    """score and verdict of a judge's JSON, and judge_error: null, malformed, unknown_field, missing_field, score_out_of_range or unknown_verdict."""
+    r, keys = F.from_json(output, JUDGEMENT), F.json_object_keys(output)
+    known = F.array(*(F.lit(f.split()[0]) for f in JUDGEMENT.split(", ")))
+    null = r["score"].isNull() | r["verdict"].isNull() | r["rationale"].isNull()
+    error = F.when(keys.isNull(), "malformed").when(F.size(F.array_except(keys, known)) > 0, "unknown_field").when(null, "missing_field").when(~r["score"].between(0.0, 1.0), "score_out_of_range").when(~r["verdict"].isin(*VERDICTS), "unknown_verdict")
+    return {"score": r["score"], "verdict": r["verdict"], "judge_error": error}
+
+
+def release_violations(gates: DataFrame, slices: DataFrame) -> DataFrame:
+    """config_id, rule: releases that say otherwise than their slices. gates: config_id, passed; slices: metric_slices() by config_id; a release passes if no overall slice fails gate(), and needs a slice of each metric."""
+    overall = slices.filter("domain is null")
+    fails = gate(overall).groupBy("config_id").agg(F.count(F.lit(1)).alias("failing"))
+    held = overall.filter(F.col("metric").isin(*METRICS)).groupBy("config_id").agg(F.count_distinct("metric").alias("metrics"))
+    rows = gates.join(fails, "config_id", "left").join(held, "config_id", "left")
+    rules = F.array_compact(F.array(
+        F.when(F.coalesce("metrics", F.lit(0)) < len(METRICS), "metric_missing"), F.when(F.col("passed") & (F.coalesce("failing", F.lit(0)) > 0), "passed_below_floor"), F.when(~F.col("passed") & F.col("failing").isNull(), "failed_without_cause"),
+    ))
+    return rows.select("config_id", F.explode(rules).alias("rule"))
+
+
 def compare_slices(baseline: DataFrame, candidate: DataFrame, thresholds: DataFrame, mode: str = "pr_fast") -> DataFrame:
     """A finding for each threshold (metric, domain, max_drop, min_score, min_samples): status, delta, blocking (pr_fast), alert (nightly_full). Domains match null to null."""
     side = lambda df, p: df.select(F.col("metric").alias(f"{p}_metric"), F.col("domain").alias(f"{p}_domain"), F.col("count").alias(f"{p}_count"), F.col("mean_score").alias(f"{p}_score"))

@@ -59,6 +59,13 @@ def derived_queries(first_hop: DataFrame, queries: DataFrame, most: int = 2, mod
     return found.withColumn("_n", order).filter(F.col("_n") <= most).select("query_id", (F.col("_n") + 1).alias("hop"), F.col("r.ref").alias("question"))
 
 
+def multi_hop_trace(queries: DataFrame, derived: DataFrame) -> DataFrame:
+    """query_id, triggered and hops (1 and those of derived queries): what several hops came to."""
+    n = derived.groupBy("query_id").agg(F.sort_array(F.collect_set("hop")).alias("more"))
+    rows = queries.select("query_id").join(n, "query_id", "left")
+    return rows.select("query_id", F.col("more").isNotNull().alias("triggered"), F.concat(F.array(F.lit(1)), F.coalesce("more", F.array().cast("array<int>"))).alias("hops"))
+
+
 def merge_hops(results: DataFrame, config: Hybrid = Hybrid()) -> DataFrame:
     """Candidates (query_id, hop, rank, chunk_id, score) of all hops in the order they are first seen, cut at config.max_merged, with hops."""
     seen = results.groupBy("query_id", "chunk_id").agg(F.min_by(F.struct("hop", "rank", "score"), F.struct("hop", "rank")).alias("f"), F.sort_array(F.collect_set("hop")).alias("hops"))

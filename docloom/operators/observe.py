@@ -62,6 +62,31 @@ def rate_limited(requests: DataFrame, limit: int = 120, every: str = "60 seconds
     return requests.withColumn("allowed", F.row_number().over(w) <= limit)
 
 
+def rate_limited_exact(requests: DataFrame, limit: int = 120, seconds: int = 60, key: str = "user_id", ts: str = "ts", order: str = "ts") -> DataFrame:
+    """requests (key, ts, order) with allowed: the first limit of each window, which begins with a key's first request after the window before has ended.
+
+    A window's begin depends on all before, so it is carried along a key's requests by
+    an aggregate over their times: no UDF. Keys' requests are gathered, so a key's
+    number of requests bounds the memory; rate_limited() needs none.
+    """
+    us = F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(order).alias("o")))
+    rows = requests.groupBy(key).agg(F.array_sort(us).alias("r"))
+    state = F.struct(F.lit(-(1 << 62)).cast("long").alias("first"), F.lit(0).alias("k"), F.array().cast("array<boolean>").alias("ok"))
+    step = lambda s, x: F.struct(
+        F.when(x["t"] - s["first"] >= seconds * 1_000_000, x["t"]).otherwise(s["first"]).alias("first"),
+        F.when(x["t"] - s["first"] >= seconds * 1_000_000, 1).otherwise(s["k"] + 1).alias("k"),
+        F.concat(s["ok"], F.array(F.when(x["t"] - s["first"] >= seconds * 1_000_000, F.lit(limit >= 1)).otherwise(s["k"] + 1 <= limit))).alias("ok"),
+    )
+    done = rows.select(key, F.arrays_zip("r", F.aggregate("r", state, step)["ok"].alias("ok")).alias("z"))
+    return done.select(key, F.explode("z").alias("z")).select(key, F.timestamp_micros("z.r.t").alias("ts"), F.col("z.r.o").alias("order"), F.col("z.ok").alias("allowed"))
+
+
+def hit_ratio(lookups: DataFrame, hit: str, every: str = "5 minutes", ts: str = "ts") -> DataFrame:
+    """window_start, hits, ratio of hits to lookups in tumbling windows; the divisor is at least 1e-9."""
+    out = lookups.groupBy(F.window(ts, every).alias("w")).agg(F.count_if(hit).alias("hits"), F.count(F.lit(1)).alias("n"))
+    return out.select(F.col("w.start").alias("window_start"), "hits", (F.col("hits") / F.greatest(F.col("n"), F.lit(1e-9))).alias("ratio"))
+
+
 def bounded_label(value: Column, allowed: tuple[str, ...], other: str = "other") -> Column:
     return F.when(value.isin(*allowed), value).otherwise(other)
 
@@ -77,5 +102,5 @@ def without_secrets(message: Column) -> Column:
 
 
 def cache_key(request: Column) -> Column:
-    """SHA-256 of a struct's JSON, its fields in the order given (pass them sorted)."""
-    return F.sha2(F.to_json(request), 256)
+    """SHA-256 of a struct's JSON, nulls included, its fields in the order given (pass them sorted)."""
+    return F.sha2(F.to_json(request, {"ignoreNullFields": "false"}), 256)

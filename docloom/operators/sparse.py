@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.config import Sparse
+from docloom.errors import IndexingError
 from docloom.functions.text import lexical_tokens
+from docloom.operators.corpus import require_none, row_fingerprint
+from docloom.stage import staged
 
 
 @dataclass(frozen=True)
@@ -23,17 +26,25 @@ class SparseIndex:
         self.postings.write.mode("overwrite").parquet(f"{path}/postings")
         self.df.write.mode("overwrite").parquet(f"{path}/df")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        fingerprint(self).write.mode("overwrite").json(f"{path}/header")
 
     @classmethod
-    def read(cls, spark, path: str) -> SparseIndex:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "df", "stats")))
+    def read(cls, spark: SparkSession, path: str, check: bool = False) -> SparseIndex:
+        """A written index; check: an error unless postings have its fingerprint and df and stats follow from them."""
+        index = cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "df", "stats")))
+        if check:
+            said = spark.read.schema("n long, fingerprint string").json(f"{path}/header").first()
+            if said != fingerprint(index).first():
+                raise IndexingError("postings don't have the index's fingerprint")
+            require_none(integrity(index), "an index that contradicts itself", IndexingError)
+        return index
 
 
 def build(chunks: DataFrame, config: Sparse = Sparse(), key: str = "chunk_id", text: str = "text") -> SparseIndex:
-    """The index of chunks. Term counts are made within each chunk's array, so only (term, 1) rows are shuffled for df."""
-    rows = chunks.select(F.col(key).alias("chunk_id"), lexical_tokens(F.col(text), config.stopwords).alias("tokens"))
+    """The index of chunks. Texts are tokenised once: tokens and postings are tables in the shared folder, from which statistics and any number of searches read."""
+    rows = staged(chunks.select(F.col(key).alias("chunk_id"), lexical_tokens(F.col(text), config.stopwords).alias("tokens")))
     n = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("avgdl"))
-    postings = rows.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    postings = staged(rows.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     return SparseIndex(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n)
 
 
@@ -77,19 +88,17 @@ def matched_terms(index: SparseIndex, queries: DataFrame, results: DataFrame, co
     return results.join(found, ["query_id", "chunk_id"], "left").select(*results.columns, F.col("m.term").alias("matched_terms"), F.col("m.tf").alias("term_frequencies"))
 
 
-def search_filter(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id of the chunks that each query's filters allow: domain, document_id, date_from, date_to; a chunk without date fails any date bound.
-
-    Both sides' domain makes an equi-join where queries name one; queries without are apart.
-    """
-    c, q = chunks.alias("c"), queries.alias("q")
-    rest = (F.col("q.document_id").isNull() | (F.col("q.document_id") == F.col("c.document_id"))) & (F.col("q.date_from").isNull() | (F.col("c.source_date") >= F.col("q.date_from"))) & (F.col("q.date_to").isNull() | (F.col("c.source_date") <= F.col("q.date_to")))
-    named = c.join(q.filter("domain is not null"), (F.col("c.domain") == F.col("q.domain")) & rest)
-    free = c.join(q.filter("domain is null"), rest)
-    return named.select("query_id", "chunk_id").unionByName(free.select("query_id", "chunk_id"))
+def fingerprint(index: SparseIndex) -> DataFrame:
+    """One row: entries and their fingerprint, whatever their order."""
+    return row_fingerprint(index.postings, ["chunk_id", "dl", "term", "tf"])
 
 
 def integrity(index: SparseIndex) -> DataFrame:
-    """Terms whose stored df differs from the postings'."""
+    """rule, key: what an index's df and stats say otherwise than its postings: df of a term, chunks counted below those with postings, and their lengths."""
     again = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("again"))
-    return index.df.join(again, "term", "full").filter(~F.col("df").eqNullSafe(F.col("again")))
+    terms = index.df.join(again, "term", "full").filter(~F.col("df").eqNullSafe(F.col("again"))).select(F.lit("document_frequency").alias("rule"), F.col("term").alias("key"))
+    lengths = index.postings.groupBy("chunk_id").agg(F.sum("tf").alias("total"), F.max("dl").alias("dl"))
+    wrong = lengths.filter("total <> dl").select(F.lit("length").alias("rule"), F.col("chunk_id").cast("string").alias("key"))
+    sums = lengths.agg(F.count(F.lit(1)).alias("held"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).crossJoin(F.broadcast(index.stats))
+    off = (F.col("held") > F.col("n")) | (F.abs(F.col("avgdl") * F.col("n") - F.col("tokens")) > 1e-6 * (1 + F.col("tokens")))
+    return terms.unionByName(wrong).unionByName(sums.filter(off).select(F.lit("statistics").alias("rule"), F.lit("").alias("key")))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docloom.config import Drift, Hybrid, Sparse
 from docloom.errors import EvaluationError, IndexingError
-from docloom.operators import corpus, dense, evaluate, hybrid, observe, sparse
+from docloom.operators import corpus, dense, evaluate, hybrid, observe, retrieve, sparse
 from docloom.plans import queries as plans
 from docloom.streaming import metrics
 
@@ -85,7 +85,7 @@ def test_multi_hop_searches_derived_queries_with_the_filters(spark):
     q = spark.createDataFrame([(1, "how relief", "x"), (2, "how relief", None), (3, "relief", "x")], "query_id int, question string, domain string")
     q = q.withColumns({"document_id": F.lit(None).cast("int"), "date_from": F.lit(None).cast("date"), "date_to": F.lit(None).cast("date")})
     index = sparse.build(chunks)
-    search = lambda q: sparse.top_k(sparse.scores(index, q, allowed=sparse.search_filter(chunks, q)), 5)
+    search = lambda q: sparse.top_k(retrieve.filtered_hits(sparse.scores(index, q), chunks, q), 5)
     got = {}
     for r in hybrid.multi_hop(q, search, chunks).orderBy("query_id", "merged_rank").collect():
         got.setdefault(r.query_id, []).append((r.chunk_id, r.hop))

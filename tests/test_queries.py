@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__
-from docloom.plans import queries as plans
+from docloom.plans import registry as plans
 from tests.oracle import assert_same
 
 
