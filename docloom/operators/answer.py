@@ -13,6 +13,7 @@ from docloom.errors import GenerationError
 from docloom.functions.text import is_small_talk
 from docloom.operators import generate, hybrid
 from docloom.operators.corpus import require_none
+from docloom.stage import staged
 
 #: The form of a generated answer.
 ANSWER = "answer string, citations array<struct<chunk_id:string,claim:string>>, insufficient_context boolean"
@@ -52,12 +53,14 @@ def generated(asked: DataFrame, generator: Callable[[Column], Column], strict: b
     """checked() replies of generator (a Column of prompts to a Column of replies) to asked (query_id, prompt, allowed), with repaired.
 
     A reply that breaks a rule is asked for once more, told what was wrong; one that
-    still does is an error (strict) or stays with its errors.
+    still does is an error (strict) or stays with its errors. Replies are written to
+    the shared folder, so a generator is asked once for each.
     """
-    first = checked(asked.withColumn("reply", generator(F.col("prompt")))).withColumn("repaired", F.size("errors") > 0)
+    said = lambda rows: checked(staged(rows.withColumn("reply", generator(F.col("prompt")))))
+    first = staged(said(asked).withColumn("repaired", F.size("errors") > 0))
     good = first.filter(~F.col("repaired"))
     again = first.filter("repaired").select("query_id", "allowed", repair_prompt(F.col("prompt"), F.col("reply"), F.col("errors")).alias("prompt"))
-    second = checked(again.withColumn("reply", generator(F.col("prompt")))).withColumn("repaired", F.lit(True))
+    second = said(again).withColumn("repaired", F.lit(True))
     if strict:
         require_none(second.filter(F.size("errors") > 0).select("query_id", "errors"), "an answer that breaks the rules after its repair", GenerationError)
     return good.unionByName(second)
