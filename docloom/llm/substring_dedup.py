@@ -4,7 +4,8 @@ Only suffixes at anchors enter the trees: in each window of 20 words the 8-word
 of least hash is an anchor, so equal windows have equal anchors at equal places, and
 an anchor gram that occurs once in the corpus lies in no repeat. The suffixes at
 recurring anchors are split by prefixes of variable length: the first 8 words, for groups
-too large for a task the first 20, and by document where as many share all of these.
+too large for a task the first 20, and these by document as well, since a passage that very
+many share is the same to its end.
 Each group is a subtree: its suffixes sorted by words, with the
 common prefix of neighbours, which gives the nodes of each depth. A window that
 begins o words before its anchor repeats where suffixes meet in a node at least 20 - o
@@ -259,16 +260,10 @@ def deduplicated(docs: DataFrame, group: int = GROUP) -> DataFrame:
     counts = staged(counts)
     hits = join_by_key(found, counts, "gram", "n").filter("n is not null")
     any_split = not counts.filter(F.col("n") > group).isEmpty()
-    if any_split:
-        # prefixes of 20 words where more than `group` suffixes share 8, and parts by document where as many share 20; what the pieces miss of each other is merged below
-        hits = staged(hits)
-        large = hits.filter(F.col("n") > group).withColumn("prefix", F.xxhash64("gram", "deep"))
-        deeper = staged(large.groupBy("prefix").agg(F.count(F.lit(1)).alias("m")))
-        part = F.xxhash64("prefix", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / group)))
-        large = join_by_key(large, deeper, "prefix", "m").withColumn("piece", (1 + F.pmod(part, F.lit(1 << 30))).cast("int"))
-        hits = hits.filter(F.col("n") <= group).withColumn("piece", F.lit(0)).select("doc_id", "pos", "piece").unionByName(large.select("doc_id", "pos", "piece"))
-    else:
-        hits = hits.select("doc_id", "pos", F.lit(0).alias("piece"))
+    # where more than `group` suffixes share 8 words the prefix is 20, dealt by document as far as all of them might share it; what the pieces miss of each other is merged below
+    part = F.xxhash64("gram", "deep", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / group)))
+    piece = F.when(F.col("n") > group, 1 + F.pmod(part, F.lit(1 << 30))).otherwise(0).cast("int")
+    hits = hits.select("doc_id", "pos", piece.alias("piece"))
     hits = hits.select("doc_id", F.struct("pos", "piece").alias("hit"))
     hits = staged(hits.groupBy("doc_id").agg(F.collect_list("hit").alias("hits")))
     discard(found)
