@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +58,23 @@ def report_html(slices: DataFrame, title: str = "Evaluation") -> str:
     rows = slices.orderBy("metric", F.col("domain").asc_nulls_first()).collect()
     cells = "".join(f"<tr><td>{html.escape(r.metric)}</td><td>{html.escape(r.domain or 'all')}</td><td>{r['count']}</td><td>{r.mean_score:.6f}</td></tr>" for r in rows)
     return f"<!doctype html><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr><th>metric</th><th>domain</th><th>count</th><th>mean</th></tr>{cells}</table>"
+
+
+def report_json(slices: DataFrame, failures: DataFrame | None = None, title: str = "Evaluation") -> str:
+    """Slices, and how often each failure (category, n) occurs."""
+    rows = slices.orderBy("metric", F.col("domain").asc_nulls_first()).collect()
+    out = {"title": title, "slices": [{"metric": r.metric, "domain": r.domain, "count": r["count"], "mean_score": r.mean_score} for r in rows]}
+    if failures is not None:
+        out["failures"] = {r.category: r.n for r in failures.orderBy("category").collect()}
+    return json.dumps(out, ensure_ascii=False, indent=1) + "\n"
+
+
+def cache_put(answers: DataFrame, path: str, now: float) -> None:
+    """Appends answers (cache_key, payload) made at a time (seconds) to the query cache."""
+    answers.select("cache_key", "payload").withColumn("made", F.lit(float(now))).write.mode("append").parquet(path)
+
+
+def cache_get(requests: DataFrame, path: str, now: float, ttl: float) -> DataFrame:
+    """requests (cache_key and others) with payload: the latest that is not older than ttl seconds, or null."""
+    stored = requests.sparkSession.read.schema("cache_key string, payload string, made double").parquet(path).filter(F.col("made") >= now - ttl)
+    return requests.join(stored.groupBy("cache_key").agg(F.max_by("payload", "made").alias("payload")), "cache_key", "left")

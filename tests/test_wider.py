@@ -5,11 +5,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from docloom import cli
 from docloom.config import CHUNKINGS, Context, Hybrid
 from docloom.errors import CorpusError, EvaluationError, GenerationError, IndexingError, RetrievalError
 from docloom.operators import answer, chunk, corpus, generate, hybrid, manifest, retrieve, run, sparse
 from docloom.plans import queries as plans
 from docloom.plans.adapt import corpus as corpus_table
+from docloom.sources import records
 from docloom.stage import shared_folder
 
 DOCS = "document_id long, checksum_sha256 string, domain string, relative_path string, split string"
@@ -192,3 +194,34 @@ def test_fingerprint_ignores_order_only(spark):
     rows = spark.createDataFrame([(i, f"h{i}") for i in range(50)], "a long, b string")
     one = corpus.row_fingerprint(rows, ["a", "b"]).first()
     assert one == corpus.row_fingerprint(rows.repartition(7).select("b", "a"), ["b", "a"]).first() and one != corpus.row_fingerprint(rows.filter("a <> 3"), ["a", "b"]).first()
+
+
+def test_query_cache_and_reports(spark):
+    path = shared_folder(spark)
+    rows = spark.createDataFrame([("k", "old"), ("x", "y")], "cache_key string, payload string")
+    records.cache_put(rows, path, 100)
+    records.cache_put(rows.limit(1).withColumn("payload", F.lit("new")), path, 200)
+    asked = spark.createDataFrame([("k",), ("x",), ("z",)], "cache_key string")
+    assert {r.cache_key: r.payload for r in records.cache_get(asked, path, 250, 100).collect()} == {"k": "new", "x": None, "z": None}
+    slices = spark.createDataFrame([("m", None, 2, 0.5), ("m", "legal", 1, 1.0)], "metric string, domain string, count long, mean_score double")
+    out = json.loads(records.report_json(slices, spark.createDataFrame([("unknown", 3)], "category string, n long")))
+    assert out["slices"][0] == {"metric": "m", "domain": None, "count": 2, "mean_score": 0.5} and out["failures"] == {"unknown": 3}
+
+
+def test_cli_from_files_to_search(spark, tmp_path, capsys):
+    for name, text in (("a", "The term alpha appears. All of it."), ("b", "Only beta here.")):
+        folder = tmp_path / "corpus" / "evaluation" / "legal"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{name}.html").write_text(f"<html><body><h1>{name}</h1><p>{text}</p></body></html>")
+    run_ = lambda *a: cli.main([str(x) for x in a], spark)
+    assert run_("scan", tmp_path / "corpus", tmp_path / "manifest") == 0
+    assert manifest.read(spark, str(tmp_path / "manifest")).count() == 2
+    assert run_("parse", tmp_path / "corpus", tmp_path / "parsed", "--domain", "legal") == 0
+    assert run_("cut", tmp_path / "parsed", tmp_path / "chunks") == 0
+    assert run_("index", tmp_path / "chunks", tmp_path / "index") == 0
+    capsys.readouterr()
+    assert run_("search", tmp_path / "index", "alpha") == 0
+    assert len(capsys.readouterr().out.splitlines()) == 1
+    assert run_("scan", tmp_path / "corpus", tmp_path / "again", "--strict") == 0
+    (tmp_path / "corpus" / "evaluation" / "legal" / "c.txt").write_text("x")
+    assert run_("scan", tmp_path / "corpus", tmp_path / "again", "--strict") == 1
