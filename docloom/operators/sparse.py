@@ -41,11 +41,13 @@ class SparseIndex:
 
 
 def build(chunks: DataFrame, config: Sparse = Sparse(), key: str = "chunk_id", text: str = "text") -> SparseIndex:
-    """The index of chunks. Texts are tokenised once: tokens and postings are tables in the shared folder, from which statistics and any number of searches read."""
-    rows = staged(chunks.select(F.col(key).alias("chunk_id"), lexical_tokens(F.col(text), config.stopwords).alias("tokens")))
-    n = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("avgdl"))
+    """The index of chunks. Texts are tokenised once: postings are a table in the shared folder, from which statistics and any number of searches read."""
+    rows = chunks.select(F.col(key).alias("chunk_id"), lexical_tokens(F.col(text), config.stopwords).alias("tokens"))
     postings = staged(rows.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    return SparseIndex(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n)
+    # two sums of one row each; chunks without tokens count, too
+    n, total = chunks.agg(F.count(F.lit(1)).alias("n")), postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    stats = n.crossJoin(F.broadcast(total)).select("n", F.when(F.col("n") > 0, F.col("total") / F.when(F.col("n") > 0, F.col("n"))).otherwise(0.0).alias("avgdl"))
+    return SparseIndex(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), staged(stats))
 
 
 def query_terms(queries: DataFrame, config: Sparse = Sparse()) -> DataFrame:
