@@ -13,6 +13,9 @@ from docloom.functions.text import lexical_tokens
 from docloom.operators.corpus import require_none, row_fingerprint
 from docloom.stage import staged
 
+#: Terms of queries are broadcast if there are at most so many, and so many characters of them.
+MAX_TERMS, MAX_TERM_CHARS = 200_000, 8_000_000
+
 
 @dataclass(frozen=True)
 class SparseIndex:
@@ -41,8 +44,13 @@ class SparseIndex:
 
 
 def build(chunks: DataFrame, config: Sparse = Sparse(), key: str = "chunk_id", text: str = "text") -> SparseIndex:
-    """The index of chunks. Texts are tokenised once: postings are a table in the shared folder, from which statistics and any number of searches read."""
-    rows = chunks.select(F.col(key).alias("chunk_id"), lexical_tokens(F.col(text), config.stopwords).alias("tokens"))
+    """The index of chunks. Texts are tokenised once: postings are a table in the shared folder, from which statistics and any number of searches read.
+
+    Texts move to their chunk's task before they become postings, which are then counted
+    there: a text is less to shuffle than its postings.
+    """
+    rows = chunks.select(F.col(key).alias("chunk_id"), F.col(text).alias("text")).repartition("chunk_id")
+    rows = rows.select("chunk_id", lexical_tokens(F.col("text"), config.stopwords).alias("tokens"))
     postings = staged(rows.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     # two sums of one row each; chunks without tokens count, too
     n, total = chunks.agg(F.count(F.lit(1)).alias("n")), postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
@@ -68,11 +76,19 @@ def scores(index: SparseIndex, queries: DataFrame, config: Sparse = Sparse(), al
     """query_id, chunk_id, score of chunks with a term of the query.
 
     Statistics are the whole index's, whatever is allowed: allowed (chunk_id, or
-    query_id and chunk_id) cuts candidates, not counts. Terms' frequencies are joined
-    to the queries' terms before the postings, so postings move once.
+    query_id and chunk_id) cuts candidates, not counts. Where the queries' terms are few
+    enough to be broadcast, postings of these terms move to their chunk's task, where
+    they meet the queries and are summed: what is shuffled is part of the index, not a row
+    for each query and chunk. Beyond that, postings and queries are joined by term.
     """
-    terms = query_terms(queries, config).join(index.df, "term")
-    hits = index.postings.join(terms, "term").crossJoin(F.broadcast(index.stats))
+    asked = query_terms(queries, config)
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars")).first()
+    if size.n <= MAX_TERMS and size.chars <= MAX_TERM_CHARS:
+        wanted = index.df.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+        hits = index.postings.join(F.broadcast(wanted), "term").repartition("chunk_id").join(F.broadcast(asked), "term")
+    else:
+        hits = index.postings.join(asked.join(index.df, "term"), "term")
+    hits = hits.crossJoin(F.broadcast(index.stats))
     out = hits.groupBy("query_id", "chunk_id").agg(F.sum(term_score(config)).alias("score")).filter("score > 0")
     return out if allowed is None else out.join(allowed, [c for c in ("query_id", "chunk_id") if c in allowed.columns], "left_semi")
 

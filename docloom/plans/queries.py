@@ -114,7 +114,8 @@ def dense_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = hybrid.rrf(_bm25(spark, sf_dir, k=20), _bm25(spark, sf_dir, PLUS, 20))
+    index, q = sparse.build(corpus_table(spark, sf_dir)), questions(spark, sf_dir)  # the variants differ in scores, not in postings
+    fused = hybrid.rrf(*(sparse.top_k(sparse.scores(index, q, c), 20) for c in (Sparse(), PLUS)))
     return fused.select("query_id", "chunk_id", "dense_rank", "sparse_rank", F.round("score", 9).alias("score"), "rank")
 
 

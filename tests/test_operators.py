@@ -43,6 +43,16 @@ def test_index_round_trip(spark, tmp_path):
     assert sorted(map(tuple, again.df.collect())) == [("a1", 1), ("b1", 2)]
 
 
+def test_bm25_by_term_beyond_the_bound(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{j}" for j in range(k % 7) for _ in range(1 + (k + j) % 3)) or None) for k in range(60)] + [(3, "w1 w1")]
+    index = sparse.build(spark.createDataFrame(rows, "chunk_id long, text string"))
+    q = spark.createDataFrame([(1, "w0 w1 w1"), (2, "w5 w6 zz"), (3, ""), (4, None)], "query_id int, question string")
+    found = lambda: {(r.query_id, r.chunk_id): round(r.score, 9) for r in sparse.scores(index, q).collect()}
+    near = found()
+    monkeypatch.setattr(sparse, "MAX_TERMS", 0)
+    assert near and found() == near
+
+
 def test_empty_index(spark):
     index = sparse.build(spark.createDataFrame([], "chunk_id long, text string"))
     assert index.stats.first() == (0, 0.0)
