@@ -117,9 +117,11 @@ class Encoder:
         if len(self.known) > self.limit:
             self.known.clear()
         ids = list(map(self.known.get, chunks))
-        if None in ids:
-            self.learn([c for c, x in zip(chunks, ids) if x is None])
-            ids = map(self.known.__getitem__, chunks)
+        new = [i for i, x in enumerate(ids) if x is None]
+        if new:
+            self.learn([chunks[i] for i in new])
+            for i in new:
+                ids[i] = self.known[chunks[i]]
         return b"".join(ids)
 
     def forget(self) -> None:
@@ -171,9 +173,11 @@ class WholeTokenCounter:
         if len(self.counts) > self.limit:
             self.counts.clear()
         n = list(map(self.counts.get, words))
-        if None in n:
-            self.learn([w for w, x in zip(words, n) if x is None])
-            n = map(self.counts.__getitem__, words)
+        new = [i for i, x in enumerate(n) if x is None]
+        if new:
+            self.learn([words[i] for i in new])
+            for i in new:
+                n[i] = self.counts[words[i]]
         return sum(n)
 
     def forget(self) -> None:

@@ -60,6 +60,7 @@ class _Decision:
         self.at = [np.zeros(kinds, np.int64), np.zeros(names, np.int64)]
         self.weights = [45000, 20000]
         self.names = names - 1
+        self.seen: list[list[np.ndarray]] = [[], []]
         self._learned(0)
         self._learned(1)
 
@@ -69,9 +70,9 @@ class _Decision:
     def predict(self, kind: np.ndarray, name: np.ndarray) -> np.ndarray:
         """Probability in 4096ths, 1 to 4095."""
         self.keys = kind, name & self.names
-        self.inputs = self.at[0][kind], self.at[1][self.keys[1]]
+        self.inputs = self.at[0].take(kind), self.at[1].take(self.keys[1])
         mixed = (self.weights[0] * self.inputs[0] + self.weights[1] * self.inputs[1]) >> 16
-        self.p = self.squash[np.minimum(np.maximum(mixed, -2047), 2047) + 2047]
+        self.p = self.squash.take(mixed + 2047, mode="clip")
         return self.p
 
     def update(self, tried: np.ndarray, hit: np.ndarray, learn: bool) -> None:
@@ -79,26 +80,35 @@ class _Decision:
         n = int(np.count_nonzero(tried))
         if not n:
             return
-        miss = np.where(tried, (hit.astype(np.int64) << _WHOLE) - self.p, 0)
+        miss = ((hit.astype(np.int64) << _WHOLE) - self.p) * tried
+        # 0: not tried, 1: no hit, 2: hit
+        outcome = (tried.view(np.int8) + hit.view(np.int8)).astype(np.int64)
         for i in (0, 1):
             self.weights[i] += int(miss @ self.inputs[i]) // (n << 4)
-            size = len(self.hits[i])
-            seen = np.bincount(np.where(tried, 2 * self.keys[i] + hit, 2 * size), minlength=2 * size)
-            self.hits[i] += seen[1 : 2 * size : 2]
-            self.tries[i] += seen[0 : 2 * size : 2] + seen[1 : 2 * size : 2]
+            self.seen[i].append(3 * self.keys[i] + outcome)
             if learn:
+                size = len(self.hits[i])
+                seen = np.bincount(np.concatenate(self.seen[i]), minlength=3 * size)
+                self.hits[i] += seen[2::3]
+                self.tries[i] += seen[1::3] + seen[2::3]
+                self.seen[i] = []
                 self._learned(i)
 
 
 class _Model:
     """Predictions for the next id of each of n lanes over ids below top."""
 
-    def __init__(self, n: int, top: int) -> None:
-        self.n, self.top = n, top
+    def __init__(self, n: int, top: int, decodes: bool = False) -> None:
+        self.n, self.top, self.decodes = n, top, decodes
         self.by2 = np.zeros(_SLOTS, np.int64)  # check << 24 | standing << 16 | id
         self.best, self.other = np.zeros(top, np.int64), np.zeros(top, np.int64)  # standing << 16 | id
         self.two, self.one, self.next = _Decision(256), _Decision(256), _Decision(256)
         self.p1, self.p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        # borders of the masses of order 2's id, order 1's best, its other, and order 0; and these ids
+        self.upto = np.zeros((5, n), np.int64)
+        self.upto[4] = 1 << _WHOLE
+        self.ids = np.zeros((4, n), np.int64)
+        self.lane = np.arange(n)
         self.count = np.zeros(top, np.int64)
         self.fresh: list[np.ndarray] = []
         self.step = 0
@@ -117,7 +127,8 @@ class _Model:
             self.size[:-1] = self.count * ((whole - distinct - new) / total) + seen
         self.size[-1] = whole - int(self.size.sum())
         self.begin = np.cumsum(self.size) - self.size
-        self.named = np.repeat(np.arange(self.top + 1), self.size)
+        if self.decodes:
+            self.named = np.repeat(np.arange(self.top + 1), self.size)
 
     def predict(self) -> None:
         if self.step % _REFRESH == 0 or self.step & (self.step - 1) == 0:
@@ -125,30 +136,40 @@ class _Model:
         self.step += 1
         mixed = self.p1 * 0x9E3779B1 + self.p2 * 0x85EBCA77
         self.slot, self.check = (mixed >> 13) & (_SLOTS - 1), (mixed ^ mixed >> 9) & 0xFF
-        e2, self.e1, self.e0 = self.by2[self.slot], self.best[self.p1], self.other[self.p1]
-        self.c2 = np.where(e2 >> 24 == self.check, (e2 >> 16) & 0xFF, 0)
-        self.id2, self.id1, self.id0 = e2 & 0xFFFF, self.e1 & 0xFFFF, self.e0 & 0xFFFF
+        e2, self.e1, self.e0 = self.by2.take(self.slot), self.best.take(self.p1), self.other.take(self.p1)
+        self.c2 = ((e2 >> 16) & 0xFF) * (e2 >> 24 == self.check)
+        self.id2, self.id1, self.id0 = self.ids[0], self.ids[1], self.ids[2]
+        for e, x in ((e2, self.id2), (self.e1, self.id1), (self.e0, self.id0)):
+            np.bitwise_and(e, 0xFFFF, out=x)
         self.c1, self.c0 = self.e1 >> 16, self.e0 >> 16
         self.any2 = self.c2 > 0
         is1, is0 = self.id2 == self.id1, self.id2 == self.id0
-        p2 = self.two.predict(self.c2 * 32 + (self.c1 >> 1) * 4 + is1 + 2 * is0, self.id2)
-        self.m2 = np.where(self.any2, p2, 0)
-        rest = (1 << _WHOLE) - self.m2
+        same = is1.view(np.int8) + 2 * is0.view(np.int8)
+        half = self.c1 >> 1
+        m2 = np.multiply(self.two.predict(self.c2 * 32 + half * 4 + same, self.id2), self.any2, out=self.upto[1])
+        rest = (1 << _WHOLE) - m2
         p1 = self.one.predict(self.c1 * 16 + (self.c0 >> 1) * 2 + self.any2, self.id1)
-        self.m1 = np.where((self.c1 > 0) & ~(self.any2 & is1), rest * p1 >> _WHOLE, 0)
-        rest = rest - self.m1
-        p0 = self.next.predict(self.c0 * 16 + (self.c1 >> 1) * 2 + self.any2, self.id0)
-        self.m0 = np.where((self.c0 > 0) & ~(self.any2 & is0), rest * p0 >> _WHOLE, 0)
-        self.up1 = self.m2 + self.m1
-        self.up0 = self.up1 + self.m0
+        m1 = (rest * p1 >> _WHOLE) * ((self.c1 > 0) & ~(self.any2 & is1))
+        rest -= m1
+        p0 = self.next.predict(self.c0 * 16 + half * 2 + self.any2, self.id0)
+        m0 = (rest * p0 >> _WHOLE) * ((self.c0 > 0) & ~(self.any2 & is0))
+        self.has1, self.has0 = m1 > 0, m0 > 0
+        np.add(m2, m1, out=self.upto[2])
+        np.add(self.upto[2], m0, out=self.upto[3])
+
+    def masses(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, place in ids) of what is coded in each lane: 0 to 2 a named id, 3 order 0."""
+        at = which * self.n + self.lane
+        flat = self.upto.ravel()
+        return flat.take(at), flat.take(at + self.n), at
 
     def update(self, ids: np.ndarray) -> None:
         hit2, hit1, hit0 = self.any2 & (ids == self.id2), (self.c1 > 0) & (ids == self.id1), (self.c0 > 0) & (ids == self.id0)
-        tried1 = (self.m1 > 0) & ~hit2
+        tried1 = self.has1 & ~hit2
         learn = self.step < 64 or self.step % 8 == 0
         self.two.update(self.any2, hit2, learn)
         self.one.update(tried1, tried1 & hit1, learn)
-        tried0 = (self.m0 > 0) & ~hit2 & ~(hit1 & (self.m1 > 0))
+        tried0 = self.has0 & ~hit2 & ~(hit1 & self.has1)
         self.next.update(tried0, tried0 & hit0, learn)
         c = np.where(hit2, np.minimum(self.c2 + 1, 7), self.c2 >> 1)
         # a prediction without standing gives way
@@ -174,28 +195,29 @@ def _encode_lanes(ids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
     start = put.copy()
     for x in ids:
         model.predict()
-        hit2 = model.any2 & (x == model.id2)
-        hit1 = ~hit2 & (model.m1 > 0) & (x == model.id1)
-        hit0 = ~hit2 & ~hit1 & (model.m0 > 0) & (x == model.id0)
-        hit = hit2 | hit1 | hit0
-        lo = np.where(hit2, 0, np.where(hit1, model.m2, np.where(hit0, model.up1, model.up0)))
-        hi = np.where(hit2, model.m2, np.where(hit1, model.up1, np.where(hit0, model.up0, 1 << _WHOLE)))
+        miss2 = ~(model.any2 & (x == model.id2))
+        miss1 = miss2 & ~(model.has1 & (x == model.id1))
+        miss = miss1 & ~(model.has0 & (x == model.id0))
+        lo, hi, _ = model.masses(miss2.view(np.int8) + miss1.view(np.int8) + miss.view(np.int8).astype(np.int64))
         r = width >> U(_WHOLE)
-        low += r * lo.astype(U)
-        width = r * (hi - lo).astype(U)
-        size = model.size[x]
-        new = ~hit & (size == 0)
-        g = np.where(new, top, x)
-        size = np.where(hit, 1, model.size[g])
-        r = width >> np.where(hit, 0, _FINE).astype(U)
-        low += r * np.where(hit, 0, model.begin[g]).astype(U)
-        width = r * size.astype(U)
+        low += r * lo.view(U)
+        hi -= lo
+        width = r * hi.view(U)
+        size = model.size.take(x)
+        new = miss & (size == 0)
+        some = bool(new.any())
+        g = np.where(new, top, x) if some else x
+        if some:
+            size = model.size.take(g)
+        r = width >> (miss * U(_FINE))
+        low += r * (model.begin.take(g) * miss).view(U)
+        width = r * np.where(miss, size, 1).view(U)
         emit = width < _LEAST
         out[put] = low >> U(31)
         put += emit
         low = np.where(emit, (low & _MASK31) << U(32), low)
         width <<= emit.astype(U) << U(5)
-        if new.any():  # an id that this block's order 0 does not know yet: 16 plain bits
+        if some:  # an id that this block's order 0 does not know yet: 16 plain bits
             k = np.flatnonzero(new)
             r = width[k] >> U(16)
             low[k] += r * x[k].astype(U)
@@ -223,28 +245,29 @@ def _decode_lanes(words: np.ndarray, steps: int, top: int) -> np.ndarray:
     stream = (((w[:, :-1] & U(1)) << U(31)) | (w[:, 1:] >> U(1))).ravel()
     take = np.arange(n) * (w.shape[1] - 1) + 1
     stop = take + w.shape[1] - 3
-    model, width = _Model(n, top), np.full(n, (1 << 63) - 1, U)
+    model, width = _Model(n, top, True), np.full(n, (1 << 63) - 1, U)
     out = np.zeros((steps, n), np.int64)
     for t in range(steps):
         model.predict()
         r = width >> U(_WHOLE)
         v = np.minimum(_quotient(code, r), (1 << _WHOLE) - 1)
-        hit2, in1, hit = v < model.m2, v < model.up1, v < model.up0
-        lo = np.where(hit2, 0, np.where(in1, model.m2, np.where(hit, model.up1, model.up0)))
-        hi = np.where(hit2, model.m2, np.where(in1, model.up1, np.where(hit, model.up0, 1 << _WHOLE)))
-        code -= r * lo.astype(U)
-        width = r * (hi - lo).astype(U)
-        r = width >> np.where(hit, 0, _FINE).astype(U)
-        v = np.where(hit, 0, np.minimum(_quotient(code, r), (1 << _FINE) - 1))
-        g = model.named[v]
-        x = np.where(hit2, model.id2, np.where(in1, model.id1, np.where(hit, model.id0, g)))
-        code -= r * np.where(hit, 0, model.begin[g]).astype(U)
-        width = r * np.where(hit, 1, model.size[g]).astype(U)
+        miss = v >= model.upto[3]
+        lo, hi, at = model.masses((v >= model.upto[1]).view(np.int8) + (v >= model.upto[2]).view(np.int8) + miss.view(np.int8).astype(np.int64))
+        code -= r * lo.view(U)
+        hi -= lo
+        width = r * hi.view(U)
+        r = width >> (miss * U(_FINE))
+        v = np.minimum(_quotient(code, r), (1 << _FINE) - 1) * miss
+        g = model.named.take(v)
+        model.ids[3] = g
+        x = model.ids.ravel().take(at)
+        code -= r * (model.begin.take(g) * miss).view(U)
+        width = r * np.where(miss, model.size.take(g), 1).view(U)
         emit = width < _LEAST
         code = np.where(emit, (code << U(32)) | stream[np.minimum(take, stop)], code)
         width <<= emit.astype(U) << U(5)
         take += emit
-        new = ~hit & (g == top)
+        new = miss & (g == top)
         if new.any():
             k = np.flatnonzero(new)
             r = width[k] >> U(16)
