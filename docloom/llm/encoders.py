@@ -16,6 +16,8 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -53,6 +55,19 @@ def uncommon(text: str) -> bool:
         return bool(_UNCOMMON.search(text))
 
 
+def _strings(words: pa.Array) -> list[str]:
+    """What to_pylist() gives for words without line breaks, faster."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "\n")[0].as_py().split("\n") if len(words) else []
+
+
+def _gather(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of flat (of these sizes) named by which, one after another, and the size of each."""
+    n = sizes.take(which)
+    at = np.repeat((np.cumsum(sizes) - sizes).take(which) - np.cumsum(n) + n, n)
+    at += np.arange(len(at))
+    return flat.take(at), n
+
+
 class Encoder:
     """Ids of texts for a tokenizer file, without special tokens added; remembers up to limit chunks and as many pre-tokens."""
 
@@ -124,6 +139,65 @@ class Encoder:
                 ids[i] = self.known[chunks[i]]
         return b"".join(ids)
 
+    def merge_all(self, parts: list[str]) -> None:
+        """Remembers the ids of pre-tokens that are not known yet."""
+        letters = "\n".join(parts).encode().decode("latin-1").translate(_LETTERS).split(_LETTERS[10])
+        ids, ends, merge = [], [], self.merge
+        for x in letters[: len(parts)]:
+            ids += [t.id for t in merge(x)]
+            ends.append(4 * len(ids))
+        raw, at = array("I", ids).tobytes(), 0
+        for p, end in zip(parts, ends):
+            self.parts[p] = raw[at:end]
+            at = end
+
+    def stem_ids(self, stems: pa.Array) -> list[bytes]:
+        """The ids of distinct chunks in lower case; what is not known is cut and merged once."""
+        known = self.parts
+        if len(known) > self.limit:
+            known.clear()
+        names = _strings(stems)
+        found = list(map(known.get, names))
+        new = [i for i, x in enumerate(found) if x is None]
+        letters = pc.utf8_is_alpha(stems).to_numpy(zero_copy_only=False)
+        cut = {i: self.pre_tokens(names[i]) for i in new if not letters[i]}
+        self.merge_all([names[i] for i in new if letters[i]])
+        self.merge_all([p for p in {p for c in cut.values() for p in c} if p not in known])
+        for i, c in cut.items():
+            known[names[i]] = b"".join([known[p] for p in c])
+        for i in new:
+            found[i] = known[names[i]]
+        return found
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, and how many each text has. Each distinct chunk of the texts is looked up once."""
+        rare = [i for i, t in enumerate(texts) if uncommon(t)] if self.plain and self.by_words else range(len(texts))
+        low = [t.lower() for t in texts]
+        for i in rare:
+            low[i] = ""
+        cut = pc.ascii_split_whitespace(pa.array(low, pa.string()))
+        words = cut.flatten().dictionary_encode()
+        # letters alone, or before one mark, need no pattern
+        body = pc.utf8_slice_codeunits(words.dictionary, 0, -1)
+        mark = pc.index_in(pc.utf8_slice_codeunits(words.dictionary, -1), pa.array(sorted(_MARKS)))
+        mark = pc.if_else(pc.utf8_is_alpha(body), mark, None)
+        stems = pc.if_else(pc.is_valid(mark), body, words.dictionary).dictionary_encode()
+        found = self.stem_ids(stems.dictionary)
+        last = [self.pre_token(m) for m in sorted(_MARKS)] + [b""]
+        ends = pc.fill_null(mark, len(_MARKS)).to_numpy() + len(found)
+        pieces = found + last
+        flat, sizes = np.frombuffer(b"".join(pieces), np.uint32), np.array(list(map(len, pieces)), np.int64) >> 2
+        flat, sizes = _gather(flat, sizes, np.stack([stems.indices.to_numpy(), ends], axis=1).ravel())
+        ids, sizes = _gather(flat, sizes.reshape(-1, 2).sum(axis=1), words.indices.to_numpy())
+        n = np.diff(np.concatenate([[0], np.cumsum(sizes)]).take(cut.offsets.to_numpy()))
+        if rare:  # these go through the library whole
+            own = {i: np.frombuffer(self.encode_one(texts[i]), np.uint32) for i in rare}
+            parts = np.split(ids, np.cumsum(n)[:-1])
+            ids = np.concatenate([own.get(i, x) for i, x in enumerate(parts)])
+            for i, x in own.items():
+                n[i] = len(x)
+        return ids, n
+
     def forget(self) -> None:
         """Frees what is remembered: workers outlive their tasks."""
         self.known.clear()

@@ -7,13 +7,15 @@ codes one id of every lane, with one model for all lanes that learns from all of
 them after the step. So the model sees the whole block, and steps stay vectors.
 
 Three orders predict each id. Order 2 names the id that last followed the two ids
-before it, order 1 the two best followers of the one before it, order 0 has the
+before it, order 1 the best follower of the one before it, order 0 has the
 frequencies of all ids of the block so far. Each named id is a binary decision:
 how often predictions of such standing were right, and how often predictions of
 that id were, are mixed in the logistic domain with weights learned on the way. The
-decisions' masses and order 0's frequencies are coded by a range coder for each lane.
-All numbers that decide are integers, or doubles of single exact operations, so any
-machine decodes alike.
+decisions' masses and order 0's frequencies make one interval, which a range coder
+for each lane codes at once. What predictions name changes with every step; estimates
+and weights, each of thousands of lanes, learn from every step at first, then from every
+16th. All numbers that decide are integers, or doubles of single exact operations, so
+any machine decodes alike.
 """
 
 from __future__ import annotations
@@ -24,91 +26,111 @@ from functools import lru_cache
 
 import numpy as np
 
-BLOCK, LANES = 1 << 22, 4096
+BLOCK, LANES = 1 << 23, 6144
 #: Fewest ids of a lane, as a power of two, while there is more than one lane.
 _LEAST_LANE = 8
-_SLOTS = 1 << 20
+_SLOTS = 20  # bits of a place in order 2's table
 _WHOLE, _FINE = 12, 18  # bits of the masses of decisions, and of order 0's frequencies
-_REFRESH = 16
+_BOTH = _WHOLE + _FINE
+#: Order 0 is counted anew, and decisions learn, at every step before the first number, then each time so many steps have gone.
+_REFRESH, _LEARN = (16, 64), (32, 16)
+#: Kinds of standing: order 2's (0 to 7), whether order 1 names the same id, order 1's (0 to 15).
+_KINDS, _NAMES = 256, 4096
+_ABSENT, _MOST = -(1 << 30), 1 << 18
 U = np.uint64
 _MASK31, _LEAST = U((1 << 31) - 1), U(1 << 31)
 
 
 @lru_cache(1)
 def _logistic() -> tuple[np.ndarray, np.ndarray]:
-    """squash (4096 * logistic(d / 256) for d from -2047 to 2047) and its inverse, stretch, as integers; decimal arithmetic is the same everywhere."""
+    """squash (0, then 4096 * logistic(d / 256) for d from -2047 to 2047) and the inverse of the latter, stretch, as integers; decimal arithmetic is the same everywhere."""
     up = [int(4096 / (1 + (Decimal(-d) / 256).exp())) for d in range(-2047, 2048)]
     squash = np.clip(np.array(up, np.int64), 1, 4095)
     stretch = np.clip(np.searchsorted(squash, np.arange(4096)) - 2047, -2047, 2047).astype(np.int64)
-    return squash, stretch
+    return np.concatenate([[0], squash]).astype(np.int32), stretch
+
+
+@lru_cache(1)
+def _standings() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By kind: whether order 2 and order 1 name an id of their own; by kind, without and then with a hit: their standings (<< 16) after it, 0 where the name gives way."""
+    c2, same, c1 = np.arange(_KINDS) >> 5, np.arange(_KINDS) >> 4 & 1, np.arange(_KINDS) & 15
+    after2 = np.concatenate([np.maximum(c2 - 1, 0), np.minimum(c2 + 2, 7)])
+    after1 = np.concatenate([np.maximum(c1 - 1, 0), np.minimum(c1 + 2, 15)])
+    return c2 > 0, (c1 > 0) & (same == 0), (after2 << 16).astype(np.int32), (after1 << 16).astype(np.int32)
+
+
+def _due(step: int, every: tuple[int, int]) -> bool:
+    return step < every[0] or step % every[1] == 0
 
 
 def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a // b as int64 for quotients below 2**31: by doubles, then put right, which is faster than division of integers."""
     q = (a / b).astype(np.int64)
-    rest = (a - q.astype(a.dtype) * b).view(np.int64)
-    return q - (rest < 0) + (rest >= b.view(np.int64))
+    rest = (a - q.view(U) * b).view(np.int64)
+    q -= rest < 0
+    q += rest >= b.view(np.int64)
+    return q
+
+
+def _turned(a: np.ndarray) -> np.ndarray:
+    """a.T in order of its rows; some columns at a time, so that what is read stays near."""
+    out = np.empty(a.shape[::-1], a.dtype)
+    for i in range(0, len(a), 64):
+        out[:, i : i + 64] = a[i : i + 64].T
+    return out
 
 
 class _Decision:
     """Whether a named id is the next one: two adaptive estimates, by standing and by id, and their logistic mixture."""
 
-    def __init__(self, kinds: int, names: int = 1024) -> None:
+    def __init__(self, present: np.ndarray) -> None:
         self.squash, self.stretch = _logistic()
-        self.hits = [np.full(kinds, 0.5), np.full(names, 0.5)]
-        self.tries = [np.full(kinds, 1.5), np.full(names, 1.5)]
-        self.at = [np.zeros(kinds, np.int64), np.zeros(names, np.int64)]
+        self.absent = ~present
+        self.hits = [np.full(_KINDS, 0.5), np.full(_NAMES, 0.5)]
+        self.tries = [np.full(_KINDS, 1.5), np.full(_NAMES, 1.5)]
         self.weights = [45000, 20000]
-        self.names = names - 1
-        self.seen: list[list[np.ndarray]] = [[], []]
-        self._learned(0)
-        self._learned(1)
+        self._learned()
 
-    def _learned(self, i: int) -> None:
-        self.at[i] = self.stretch[(self.hits[i] / self.tries[i] * 4096).astype(np.int64)]
+    def _learned(self) -> None:
+        self.at = [self.stretch[(h / t * 4096).astype(np.int64)] for h, t in zip(self.hits, self.tries)]
+        # each estimate's part of the mixture, in 65536ths; where nothing is named there is no mass
+        self.parts = [(w * a).astype(np.int32) for w, a in zip(self.weights, self.at)]
+        self.parts[0] += 2048 << 16
+        self.parts[0][self.absent] = _ABSENT
 
     def predict(self, kind: np.ndarray, name: np.ndarray) -> np.ndarray:
-        """Probability in 4096ths, 1 to 4095."""
-        self.keys = kind, name & self.names
-        self.inputs = self.at[0].take(kind), self.at[1].take(self.keys[1])
-        mixed = (self.weights[0] * self.inputs[0] + self.weights[1] * self.inputs[1]) >> 16
-        self.p = self.squash.take(mixed + 2047, mode="clip")
+        """Probability in 4096ths, 0 where nothing is named."""
+        self.keys = kind, (name & (_NAMES - 1)).astype(np.int64)
+        mixed = self.parts[0].take(kind)
+        mixed += self.parts[1].take(self.keys[1])
+        mixed >>= 16
+        self.p = self.squash.take(mixed, mode="clip")
         return self.p
 
-    def update(self, tried: np.ndarray, hit: np.ndarray, learn: bool) -> None:
-        """hit is only where tried is; estimates follow the counts where learn is set."""
+    def learn(self, tried: np.ndarray, hit: np.ndarray) -> None:
+        """hit is only where tried is."""
         n = int(np.count_nonzero(tried))
         if not n:
             return
         miss = ((hit.astype(np.int64) << _WHOLE) - self.p) * tried
-        # 0: not tried, 1: no hit, 2: hit
-        outcome = (tried.view(np.int8) + hit.view(np.int8)).astype(np.int64)
         for i in (0, 1):
-            self.weights[i] += int(miss @ self.inputs[i]) // (n << 4)
-            self.seen[i].append(3 * self.keys[i] + outcome)
-            if learn:
-                size = len(self.hits[i])
-                seen = np.bincount(np.concatenate(self.seen[i]), minlength=3 * size)
-                self.hits[i] += seen[2::3]
-                self.tries[i] += seen[1::3] + seen[2::3]
-                self.seen[i] = []
-                self._learned(i)
+            w = self.weights[i] + int(miss @ self.at[i].take(self.keys[i])) // (n << 4)
+            self.weights[i] = max(-_MOST, min(_MOST, w))
+            self.hits[i] += np.bincount(self.keys[i][hit], minlength=len(self.hits[i]))
+            self.tries[i] += np.bincount(self.keys[i][tried], minlength=len(self.hits[i]))
+        self._learned()
 
 
 class _Model:
     """Predictions for the next id of each of n lanes over ids below top."""
 
     def __init__(self, n: int, top: int, decodes: bool = False) -> None:
-        self.n, self.top, self.decodes = n, top, decodes
-        self.by2 = np.zeros(_SLOTS, np.int64)  # check << 24 | standing << 16 | id
-        self.best, self.other = np.zeros(top, np.int64), np.zeros(top, np.int64)  # standing << 16 | id
-        self.two, self.one, self.next = _Decision(256), _Decision(256), _Decision(256)
-        self.p1, self.p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        # borders of the masses of order 2's id, order 1's best, its other, and order 0; and these ids
-        self.upto = np.zeros((5, n), np.int64)
-        self.upto[4] = 1 << _WHOLE
-        self.ids = np.zeros((4, n), np.int64)
-        self.lane = np.arange(n)
+        self.top, self.decodes = top, decodes
+        present2, present1, self.after2, self.after1 = _standings()
+        self.by2 = np.full(1 << _SLOTS, -1, np.int32)  # check << 20 | standing << 16 | id
+        self.best = np.zeros(top, np.int32)  # standing << 16 | id
+        self.two, self.one = _Decision(present2), _Decision(present1)
+        self.p1, self.p2 = np.zeros(n, np.int64), np.zeros(n, np.uint32)
         self.count = np.zeros(top, np.int64)
         self.fresh: list[np.ndarray] = []
         self.step = 0
@@ -122,168 +144,193 @@ class _Model:
         total, distinct, once = int(self.count.sum()), int(np.count_nonzero(seen)), int(np.count_nonzero(self.count == 1))
         whole = 1 << _FINE
         new = max(1, min(whole * (once + 1) // (total + once + 2), (whole - distinct) // 2))
-        self.size = np.zeros(self.top + 1, np.int64)
+        size = np.zeros(self.top + 1, np.int64)
         if total:
-            self.size[:-1] = self.count * ((whole - distinct - new) / total) + seen
-        self.size[-1] = whole - int(self.size.sum())
-        self.begin = np.cumsum(self.size) - self.size
+            size[:-1] = self.count * ((whole - distinct - new) / total) + seen
+        size[-1] = whole - int(size.sum())
+        self.size = size.astype(np.int32)
+        self.begin = (np.cumsum(size) - size).astype(np.int32)
         if self.decodes:
-            self.named = np.repeat(np.arange(self.top + 1), self.size)
+            self.named = np.repeat(np.arange(self.top + 1, dtype=np.int32), size)
 
     def predict(self) -> None:
-        if self.step % _REFRESH == 0 or self.step & (self.step - 1) == 0:
+        """Named ids id2 and id1, their masses m2 and m1, what rest is left to order 0 and where it begins."""
+        if _due(self.step, _REFRESH):
             self._frequencies()
         self.step += 1
-        mixed = self.p1 * 0x9E3779B1 + self.p2 * 0x85EBCA77
-        self.slot, self.check = (mixed >> 13) & (_SLOTS - 1), (mixed ^ mixed >> 9) & 0xFF
-        e2, self.e1, self.e0 = self.by2.take(self.slot), self.best.take(self.p1), self.other.take(self.p1)
-        self.c2 = ((e2 >> 16) & 0xFF) * (e2 >> 24 == self.check)
-        self.id2, self.id1, self.id0 = self.ids[0], self.ids[1], self.ids[2]
-        for e, x in ((e2, self.id2), (self.e1, self.id1), (self.e0, self.id0)):
-            np.bitwise_and(e, 0xFFFF, out=x)
-        self.c1, self.c0 = self.e1 >> 16, self.e0 >> 16
-        self.any2 = self.c2 > 0
-        is1, is0 = self.id2 == self.id1, self.id2 == self.id0
-        same = is1.view(np.int8) + 2 * is0.view(np.int8)
-        half = self.c1 >> 1
-        m2 = np.multiply(self.two.predict(self.c2 * 32 + half * 4 + same, self.id2), self.any2, out=self.upto[1])
-        rest = (1 << _WHOLE) - m2
-        p1 = self.one.predict(self.c1 * 16 + (self.c0 >> 1) * 2 + self.any2, self.id1)
-        m1 = (rest * p1 >> _WHOLE) * ((self.c1 > 0) & ~(self.any2 & is1))
-        rest -= m1
-        p0 = self.next.predict(self.c0 * 16 + half * 2 + self.any2, self.id0)
-        m0 = (rest * p0 >> _WHOLE) * ((self.c0 > 0) & ~(self.any2 & is0))
-        self.has1, self.has0 = m1 > 0, m0 > 0
-        np.add(m2, m1, out=self.upto[2])
-        np.add(self.upto[2], m0, out=self.upto[3])
-
-    def masses(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(begin, end, place in ids) of what is coded in each lane: 0 to 2 a named id, 3 order 0."""
-        at = which * self.n + self.lane
-        flat = self.upto.ravel()
-        return flat.take(at), flat.take(at + self.n), at
-
-    def update(self, ids: np.ndarray) -> None:
-        hit2, hit1, hit0 = self.any2 & (ids == self.id2), (self.c1 > 0) & (ids == self.id1), (self.c0 > 0) & (ids == self.id0)
-        tried1 = self.has1 & ~hit2
-        learn = self.step < 64 or self.step % 8 == 0
-        self.two.update(self.any2, hit2, learn)
-        self.one.update(tried1, tried1 & hit1, learn)
-        tried0 = self.has0 & ~hit2 & ~(hit1 & self.has1)
-        self.next.update(tried0, tried0 & hit0, learn)
-        c = np.where(hit2, np.minimum(self.c2 + 1, 7), self.c2 >> 1)
-        # a prediction without standing gives way
-        self.by2[self.slot] = (self.check << 24) | np.where(c > 0, (c << 16) | self.id2, 65536 | ids)
-        up0 = np.minimum(self.c0 + 1, 15)
-        swap = hit0 & (up0 > self.c1)
-        best = np.where(hit1, (np.minimum(self.c1 + 1, 15) << 16) | self.id1, np.where(swap, (up0 << 16) | ids, self.e1))
-        best = np.where(self.c1 == 0, 65536 | ids, best)
-        stays = np.where(self.c0 > 1, ((self.c0 - 1) << 16) | self.id0, 65536 | ids)
-        other = np.where(swap, self.e1, np.where(hit0, (up0 << 16) | self.id0, np.where(hit1 | (self.c1 == 0), self.e0, stays)))
-        self.best[self.p1], self.other[self.p1] = best, other
+        self.last = self.p1.astype(np.uint32)
+        mixed = self.last * np.uint32(0x9E3779B1)
+        mixed += self.p2 * np.uint32(0x85EBCA77)
+        self.slot = (mixed >> np.uint32(32 - _SLOTS)).astype(np.int64)
+        mixed ^= mixed >> np.uint32(9)
+        mixed &= np.uint32(0xFF)
+        mixed <<= np.uint32(20)
+        self.check = mixed.view(np.int32)
+        e2, e1 = self.by2.take(self.slot), self.best.take(self.p1)
+        self.id2, self.id1 = e2 & 0xFFFF, e1 & 0xFFFF
+        e2 ^= self.check
+        any2 = e2.view(np.uint32) < np.uint32(1 << 20)
+        e2 >>= 15
+        e2 &= 14
+        e2 += self.id1 == self.id2
+        e2 *= any2
+        e2 <<= 4
+        e1 >>= 16
+        e2 += e1
+        self.kind = e2.astype(np.int64)
+        self.m2 = self.two.predict(self.kind, self.id2)
+        rest = (1 << _WHOLE) - self.m2
+        self.m1 = self.one.predict(self.kind, self.id1) * rest
+        self.m1 >>= _WHOLE
+        rest -= self.m1
+        self.rest, self.begins = rest, self.m2 + self.m1
+
+    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """ids as int64; hit2 and hit1: where a named id was coded."""
+        if _due(self.step - 1, _LEARN):
+            tried2 = self.m2 > 0
+            self.two.learn(tried2, hit2)
+            self.one.learn((self.m1 > 0) & ~hit2, hit1)
+        x = ids.astype(np.int32)
+        same1 = x == self.id1
+        x += 65536
+        for table, at, names, after, hit, check in ((self.by2, self.slot, self.id2, self.after2, hit2, self.check), (self.best, self.p1, self.id1, self.after1, same1, None)):
+            now = after.take(self.kind + hit.astype(np.int64) * _KINDS)
+            # a prediction without standing gives way
+            new = (x - names) * (now == 0)
+            now += names
+            now += new
+            if check is not None:
+                now += check
+            table[at] = now
         self.fresh.append(ids)
-        self.p2, self.p1 = self.p1, ids
+        self.p2, self.p1 = self.last, ids
 
 
 def _encode_lanes(ids: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
     """(words, used): ids (lanes, steps) coded; each lane's words as 32-bit values."""
     n, steps = ids.shape
-    model, ids = _Model(n, top), np.ascontiguousarray(ids.T.astype(np.int64))
+    model, ids = _Model(n, top), _turned(ids)
     low, width = np.zeros(n, U), np.full(n, (1 << 63) - 1, U)
     room = steps * 3 // 2 + 4
-    out, put = np.zeros(n * room, U), np.arange(n) * room
-    start = put.copy()
+    # the lanes' next words lie side by side
+    out, put = np.zeros(room * n, U), np.arange(n)
     for x in ids:
+        x = x.astype(np.int64)
         model.predict()
-        miss2 = ~(model.any2 & (x == model.id2))
-        miss1 = miss2 & ~(model.has1 & (x == model.id1))
-        miss = miss1 & ~(model.has0 & (x == model.id0))
-        lo, hi, _ = model.masses(miss2.view(np.int8) + miss1.view(np.int8) + miss.view(np.int8).astype(np.int64))
-        r = width >> U(_WHOLE)
-        low += r * lo.view(U)
-        hi -= lo
-        width = r * hi.view(U)
+        hit2 = (x == model.id2) & (model.m2 > 0)
+        miss2 = ~hit2
+        hit1 = (x == model.id1) & (model.m1 > 0) & miss2
+        miss = miss2 & ~hit1
+        left2, left = miss2.astype(np.int32), miss.astype(np.int32)
+        # of the masses of order 2, order 1 and order 0, the one that is coded
+        mass = model.m2 + (model.m1 - model.m2) * left2
+        mass += (model.rest - model.m1) * left
         size = model.size.take(x)
         new = miss & (size == 0)
         some = bool(new.any())
         g = np.where(new, top, x) if some else x
         if some:
             size = model.size.take(g)
-        r = width >> (miss * U(_FINE))
-        low += r * (model.begin.take(g) * miss).view(U)
-        width = r * np.where(miss, size, 1).view(U)
-        emit = width < _LEAST
-        out[put] = low >> U(31)
-        put += emit
-        low = np.where(emit, (low & _MASK31) << U(32), low)
-        width <<= emit.astype(U) << U(5)
+        lo = model.m2 * left2
+        lo += model.m1 * left
+        lo <<= _FINE
+        lo += model.begin.take(g) * left * mass
+        size -= 1 << _FINE
+        size *= left
+        size += 1 << _FINE
+        size *= mass
+        width >>= U(_BOTH)
+        low += width * lo.astype(U)
+        width *= size.astype(U)
+        k = np.flatnonzero(width < _LEAST)
+        at, word = put.take(k), low.take(k)
+        out[at] = word >> U(31)
+        put[k] = at + n
+        low[k] = (word & _MASK31) << U(32)
+        width[k] <<= U(32)
         if some:  # an id that this block's order 0 does not know yet: 16 plain bits
             k = np.flatnonzero(new)
             r = width[k] >> U(16)
             low[k] += r * x[k].astype(U)
-            emit = r < _LEAST
+            width[k] = r
+            k = k[r < _LEAST]
             out[put[k]] = low[k] >> U(31)
-            put[k] += emit
-            low[k] = np.where(emit, (low[k] & _MASK31) << U(32), low[k])
-            width[k] = r << (emit.astype(U) << U(5))
-        model.update(x)
+            put[k] += n
+            low[k] = (low[k] & _MASK31) << U(32)
+            width[k] <<= U(32)
+        model.update(x, hit2, hit1)
     out[put] = low >> U(31)
-    out[put + 1] = (low & _MASK31) << U(1)
-    used = put + 2 - start
-    out = out.reshape(n, room)
+    out[put + n] = (low & _MASK31) << U(1)
+    used = put // n + 2
+    out = out.reshape(room, n)[: int(used.max())]
     while (over := out >> U(32)).any():
         out &= U(0xFFFFFFFF)
-        out[:, :-1] += over[:, 1:]
-    return out.astype(np.uint32), used
+        out[:-1] += over[1:]
+    return out.T.astype(np.uint32, order="C"), used
 
 
 def _decode_lanes(words: np.ndarray, steps: int, top: int) -> np.ndarray:
     """ids (lanes, steps) from words (lanes, any) padded with zeros."""
     n = len(words)
-    w = np.concatenate([words.astype(U), np.zeros((n, 3), U)], axis=1)
-    code = (w[:, 0] << U(31)) | (w[:, 1] >> U(1))
-    stream = (((w[:, :-1] & U(1)) << U(31)) | (w[:, 1:] >> U(1))).ravel()
-    take = np.arange(n) * (w.shape[1] - 1) + 1
-    stop = take + w.shape[1] - 3
+    w = np.concatenate([words.T.astype(U, order="C"), np.zeros((3, n), U)])
+    code = (w[0] << U(31)) | (w[1] >> U(1))
+    # the lanes' next words lie side by side
+    stream = (((w[:-1] & U(1)) << U(31)) | (w[1:] >> U(1))).ravel()
+    take = np.arange(n, 2 * n)
     model, width = _Model(n, top, True), np.full(n, (1 << 63) - 1, U)
-    out = np.zeros((steps, n), np.int64)
+    out = np.zeros((steps, n), np.uint16)
     for t in range(steps):
         model.predict()
-        r = width >> U(_WHOLE)
-        v = np.minimum(_quotient(code, r), (1 << _WHOLE) - 1)
-        miss = v >= model.upto[3]
-        lo, hi, at = model.masses((v >= model.upto[1]).view(np.int8) + (v >= model.upto[2]).view(np.int8) + miss.view(np.int8).astype(np.int64))
-        code -= r * lo.view(U)
-        hi -= lo
-        width = r * hi.view(U)
-        r = width >> (miss * U(_FINE))
-        v = np.minimum(_quotient(code, r), (1 << _FINE) - 1) * miss
-        g = model.named.take(v)
-        model.ids[3] = g
-        x = model.ids.ravel().take(at)
-        code -= r * (model.begin.take(g) * miss).view(U)
-        width = r * np.where(miss, model.size.take(g), 1).view(U)
-        emit = width < _LEAST
-        code = np.where(emit, (code << U(32)) | stream[np.minimum(take, stop)], code)
-        width <<= emit.astype(U) << U(5)
-        take += emit
-        new = miss & (g == top)
+        width >>= U(_BOTH)
+        v = np.minimum(_quotient(code, width), (1 << _BOTH) - 1).astype(np.int32)
+        at = v >> _FINE
+        miss2, miss = at >= model.m2, at >= model.begins
+        hit2, hit1 = ~miss2, miss2 & ~miss
+        left2, left = miss2.astype(np.int32), miss.astype(np.int32)
+        mass = model.m2 + (model.m1 - model.m2) * left2
+        mass += (model.rest - model.m1) * left
+        lo = model.m2 * left2
+        lo += model.m1 * left
+        lo <<= _FINE
+        # the quotient of two such small integers is exact enough to be cut off
+        v -= lo
+        v *= left
+        g = model.named.take((v / mass).astype(np.int64))
+        x = model.id2 + (model.id1 - model.id2) * left2
+        x += (g - model.id1) * left
+        size = model.size.take(g)
+        size -= 1 << _FINE
+        size *= left
+        size += 1 << _FINE
+        size *= mass
+        lo += model.begin.take(g) * left * mass
+        code -= width * lo.astype(U)
+        width *= size.astype(U)
+        k = np.flatnonzero(width < _LEAST)
+        at = take.take(k)
+        code[k] = (code.take(k) << U(32)) | stream.take(at, mode="clip")
+        take[k] = at + n
+        width[k] <<= U(32)
+        new = x == top
+        x = x.astype(np.int64)
         if new.any():
             k = np.flatnonzero(new)
             r = width[k] >> U(16)
             v = np.minimum(_quotient(code[k], r), 0xFFFF)
             x[k] = np.minimum(v, top - 1)
             code[k] -= r * v.astype(U)
-            emit = r < _LEAST
-            code[k] = np.where(emit, (code[k] << U(32)) | stream[np.minimum(take[k], stop[k])], code[k])
-            width[k] = r << (emit.astype(U) << U(5))
-            take[k] += emit
+            width[k] = r
+            k = k[r < _LEAST]
+            code[k] = (code[k] << U(32)) | stream.take(take[k], mode="clip")
+            take[k] += n
+            width[k] <<= U(32)
         out[t] = x
-        model.update(x)
-    return out.T
+        model.update(x, hit2, hit1)
+    return _turned(out)
 
 
-MAGIC = b"DLTOK2\n\0"
+MAGIC = b"DLTOK3\n\0"
 _HEAD = np.dtype([("tokens", "<u4"), ("lanes", "<u4"), ("top", "<u4"), ("sizes", "<u4"), ("words", "<u4"), ("crc32", "<u4")])
 
 
@@ -305,7 +352,7 @@ def write_ids(ids: np.ndarray, block: int = BLOCK) -> bytes:
         part = np.asarray(ids[at : at + block])
         n = _lanes(len(part))
         steps, top = -(-len(part) // n), int(part.max()) + 1
-        padded = np.zeros(n * steps, np.int64)
+        padded = np.zeros(n * steps, np.uint16)
         padded[: len(part)] = part
         words, used = _encode_lanes(padded.reshape(n, steps), top)
         sizes = zlib.compress(used.astype("<u4").tobytes())

@@ -57,15 +57,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, file_to
         from pyarrow import fs
 
         store, path = fs.FileSystem.from_uri(folder)
-        enc, out, end = encoder(tokenizer), table(MANIFEST), np.array([end_id], np.uint32).tobytes()
+        enc, out = encoder(tokenizer), table(MANIFEST)
         task, part = TaskContext.get().partitionId(), 0
         names: list[int | None] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal names, parts, size, part
-            data = pack_file(names, [len(x) // 4 for x in parts], np.frombuffer(b"".join(parts), np.uint32))
+            data = pack_file(names, [len(x) for x in parts], np.concatenate(parts))
             name = f"{task:06d}-{part:06d}{SUFFIX}"
             part += 1
             store.create_dir(path, recursive=True)
@@ -77,11 +77,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, file_to
             names, parts, size = [], [], 0
             return row
 
-        for batch, texts in slices(batches, most=2_000_000):
-            for name, x in zip(batch.column(0).to_pylist(), enc.encode(texts)):
+        for batch, texts in slices(batches, most=8_000_000):
+            ids, n = enc.encode_flat(texts)
+            ends = np.cumsum(n)
+            ids = np.insert(ids, ends, np.uint32(end_id))
+            ends += np.arange(1, len(n) + 1)
+            for name, begin, end in zip(batch.column(0).to_pylist(), (ends - n - 1).tolist(), ends.tolist()):
                 names.append(name)
-                parts.append(x + end)
-                size += len(x) // 4 + 1
+                parts.append(ids[begin:end])
+                size += end - begin
                 if size >= file_tokens:
                     yield flush()
         if names:

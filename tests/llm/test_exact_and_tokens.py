@@ -1,15 +1,19 @@
 import hashlib
 import os
+import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import exact_dedup, packing, token_counts, token_files
 from docloom.llm.common import documents, split_words, work_dir
-from docloom.llm.encoders import Encoder, prove, tokenizer_file
+from docloom.llm.encoders import Encoder, prove, tokenizer_file, uncommon
 from docloom.llm.range_coder import read_ids, write_ids
 from tests.oracle import assert_same
 
@@ -200,6 +204,28 @@ def test_other_tokenizer_files_go_through_the_library(tmp_path):
     got = Encoder(str(tmp_path / "other.json")).encode_one("it is so")
     assert np.frombuffer(got, np.uint32).tolist() == tok.encode("it is so", add_special_tokens=False).ids
 
+def seconds(work):
+    """CPU seconds, in the time that this machine takes to add up 5 million numbers; the least of three."""
+    took = []
+    for _ in range(3):
+        start = time.process_time()
+        sum(range(5_000_000))
+        spin, start = time.process_time() - start, time.process_time()
+        out = work()
+        took.append((time.process_time() - start) / spin)
+    return out, min(took)
+
+
+def test_range_coder_cost(spark):
+    """Writing and reading cost a bounded time an id, in microseconds where a spin takes 0.1 seconds."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy("doc_id").limit(3000).collect()]
+    ids = np.frombuffer(b"".join(Encoder(tokenizer_file("word_bpe_49k.json")).encode(texts)), np.uint32)
+    data, writing = seconds(lambda: write_ids(ids))
+    back, reading = seconds(lambda: read_ids(data))
+    assert (back == ids).all()
+    assert (writing + reading) / len(ids) * 1e5 < 0.35
+
+
 def test_range_coder_learns_and_checks():
     ids = np.tile(np.arange(300, dtype=np.uint32) * 7, 200)
     data = write_ids(ids)
@@ -211,6 +237,35 @@ def test_range_coder_learns_and_checks():
         write_ids(np.array([65536], np.uint32))
 
 
+def test_encode_flat_is_the_library():
+    """Any mixture of plain and other texts, in any order, with few or many remembered pre-tokens."""
+    rng = random.Random(3)
+    bits = ["word", "Word", "don't", "I'LL", "a,b", "x.", "y,,", "é", "ÀÇ", "œuvre", "Ⱥ", "Ɓ", "12", "3.14", "%%%", "'sab", "a'", ",", "!", "", " ", "  ", "\t", "\n", "\r\n", "\x0b", "\x00", "\xa0", "…", "“q”", "ª", "²", "<|endoftext|>", "<|", "日本", "İ", "e\u0301", "\U0001f600", "\u2028", "\x1c", "Σς", "ß"]
+    texts = ["", "\x000", "\n", " a", *("".join(rng.choice(bits) + rng.choice(["", " ", " ", " "]) for _ in range(rng.randrange(30))) for _ in range(400))]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        for limit in (250_000, 5):
+            e = Encoder(tokenizer_file(name), limit)
+            for part in (texts, texts[:1], texts[1:2], texts[4:90], [""] * 3, ["x\U0001f600"] * 2):
+                ids, n = e.encode_flat(part)
+                want = [e.tok.encode(t, add_special_tokens=False).ids for t in part]
+                assert n.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+
+
+def test_encode_flat_merges_a_pre_token_once():
+    e = Encoder(tokenizer_file("word_bpe_49k.json"))
+    asked, merge = [], e.merge
+    e.merge = lambda x: asked.append(x) or merge(x)
+    e.encode_flat(["Qzxv, qzxv. qzxv's", "qzxv! \U0001f600", "QZXV qzxv,"])
+    e.encode_flat(["qzxv; and qzxv's"])
+    assert asked.count("qzxv") == 1
+
+
+def test_classes_of_letters_agree():
+    plain = [c for c in map(chr, range(0x3000)) if not uncommon(c)]
+    assert pc.utf8_is_alpha(pa.array(plain)).to_pylist() == [c.isalpha() for c in plain]
+    assert [c for c in plain if c.isspace()] == list("\t\n\r ")
+
+
 def test_token_files(spark, docs):
     folder = work_dir(spark)
     path = tokenizer_file("word_bpe_49k.json")
