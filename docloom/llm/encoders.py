@@ -56,8 +56,28 @@ def uncommon(text: str) -> bool:
 
 
 def _strings(words: pa.Array) -> list[str]:
-    """What to_pylist() gives for words without line breaks, faster."""
-    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "\n")[0].as_py().split("\n") if len(words) else []
+    """What to_pylist() gives for words without zero bytes, faster."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "\0")[0].as_py().split("\0") if len(words) else []
+
+
+def _chunks_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """What _CHUNKS finds in plain texts, one after another, and where each text's begin (and the last one's end)."""
+    whole = pa.array(texts, pa.string())
+    upto = np.frombuffer(whole.buffers()[1], np.int32, len(texts) + 1)
+    data = np.frombuffer(whole.buffers()[2] or b"", np.uint8, upto[-1])
+    white = (data == 32) | (data == 9) | (data == 10) | (data == 13)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[upto] = True
+    after_white = np.zeros(len(data), bool)
+    after_white[1:] = white[:-1] & ~edge[1:-1]
+    before_word = np.zeros(len(data), bool)
+    before_word[:-1] = ~white[1:] & ~edge[1:-1]
+    # white space begins a chunk at its first character, and at its last before a word; a word begins one but after a space, which goes with it
+    starts = white & (before_word | ~after_white)
+    starts[1:] |= ~white[1:] & after_white[1:] & (data[:-1] != 32)
+    starts |= edge[:-1]
+    at = np.append(np.flatnonzero(starts), len(data)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), whole.buffers()[2] or pa.py_buffer(b"")), np.searchsorted(at, upto)
 
 
 def _gather(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +161,7 @@ class Encoder:
 
     def merge_all(self, parts: list[str]) -> None:
         """Remembers the ids of pre-tokens that are not known yet."""
-        letters = "\n".join(parts).encode().decode("latin-1").translate(_LETTERS).split(_LETTERS[10])
+        letters = "\0".join(parts).encode().decode("latin-1").translate(_LETTERS).split(_LETTERS[0])
         ids, ends, merge = [], [], self.merge
         for x in letters[: len(parts)]:
             ids += [t.id for t in merge(x)]
@@ -151,15 +171,19 @@ class Encoder:
             self.parts[p] = raw[at:end]
             at = end
 
+    def letters_alone(self, chunks: pa.Array) -> pa.Array:
+        """Whether chunks are letters and nothing else but the space before them."""
+        return pc.utf8_is_alpha(chunks if self.by_words else pc.utf8_ltrim(chunks, " "))
+
     def stem_ids(self, stems: pa.Array) -> list[bytes]:
-        """The ids of distinct chunks in lower case; what is not known is cut and merged once."""
+        """The ids of distinct chunks (words: in lower case); what is not known is cut and merged once."""
         known = self.parts
         if len(known) > self.limit:
             known.clear()
         names = _strings(stems)
         found = list(map(known.get, names))
         new = [i for i, x in enumerate(found) if x is None]
-        letters = pc.utf8_is_alpha(stems).to_numpy(zero_copy_only=False)
+        letters = self.letters_alone(stems).to_numpy(zero_copy_only=False)
         cut = {i: self.pre_tokens(names[i]) for i in new if not letters[i]}
         self.merge_all([names[i] for i in new if letters[i]])
         self.merge_all([p for p in {p for c in cut.values() for p in c} if p not in known])
@@ -171,16 +195,20 @@ class Encoder:
 
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each text has. Each distinct chunk of the texts is looked up once."""
-        rare = [i for i, t in enumerate(texts) if uncommon(t)] if self.plain and self.by_words else range(len(texts))
-        low = [t.lower() for t in texts]
+        rare = [i for i, t in enumerate(texts) if uncommon(t)] if self.plain else range(len(texts))
+        low = [t.lower() for t in texts] if self.by_words else list(texts)
         for i in rare:
             low[i] = ""
-        cut = pc.ascii_split_whitespace(pa.array(low, pa.string()))
-        words = cut.flatten().dictionary_encode()
+        if self.by_words:
+            cut = pc.ascii_split_whitespace(pa.array(low, pa.string()))
+            chunks, at = cut.flatten(), cut.offsets.to_numpy()
+        else:
+            chunks, at = _chunks_of(low)
+        words = chunks.dictionary_encode()
         # letters alone, or before one mark, need no pattern
         body = pc.utf8_slice_codeunits(words.dictionary, 0, -1)
         mark = pc.index_in(pc.utf8_slice_codeunits(words.dictionary, -1), pa.array(sorted(_MARKS)))
-        mark = pc.if_else(pc.utf8_is_alpha(body), mark, None)
+        mark = pc.if_else(self.letters_alone(body), mark, None)
         stems = pc.if_else(pc.is_valid(mark), body, words.dictionary).dictionary_encode()
         found = self.stem_ids(stems.dictionary)
         last = [self.pre_token(m) for m in sorted(_MARKS)] + [b""]
@@ -189,7 +217,7 @@ class Encoder:
         flat, sizes = np.frombuffer(b"".join(pieces), np.uint32), np.array(list(map(len, pieces)), np.int64) >> 2
         flat, sizes = _gather(flat, sizes, np.stack([stems.indices.to_numpy(), ends], axis=1).ravel())
         ids, sizes = _gather(flat, sizes.reshape(-1, 2).sum(axis=1), words.indices.to_numpy())
-        n = np.diff(np.concatenate([[0], np.cumsum(sizes)]).take(cut.offsets.to_numpy()))
+        n = np.diff(np.concatenate([[0], np.cumsum(sizes)]).take(at))
         if rare:  # these go through the library whole
             own = {i: np.frombuffer(self.encode_one(texts[i]), np.uint32) for i in rare}
             parts = np.split(ids, np.cumsum(n)[:-1])

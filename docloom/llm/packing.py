@@ -138,11 +138,14 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 204
             base += len(total)
             ids, names, size = [], [], 0
 
-        for batch, texts in slices(batches):
-            for name, x in zip(batch.column(0).to_pylist(), enc.encode(texts)):
-                ids.append(x + end)
+        for batch, texts in slices(batches, most=4_000_000):
+            flat, n = enc.encode_flat(texts)
+            raw, at = memoryview(flat.tobytes()), 0
+            for name, k in zip(batch.column(0).to_pylist(), n.tolist()):
+                ids.append(b"".join((raw[at : at + 4 * k], end)))
                 names.append(name)
-                size += len(x) // 4 + 1
+                at += 4 * k
+                size += k + 1
                 if size >= group_tokens:
                     yield from flush()
         if ids:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import exact_dedup, packing, token_counts, token_files
 from docloom.llm.common import documents, split_words, work_dir
-from docloom.llm.encoders import Encoder, prove, tokenizer_file, uncommon
+from docloom.llm.encoders import _CHUNKS, Encoder, _chunks_of, prove, tokenizer_file, uncommon
 from docloom.llm.range_coder import read_ids, write_ids
 from tests.oracle import assert_same
 
@@ -260,6 +260,23 @@ def test_encode_flat_merges_a_pre_token_once():
     assert asked.count("qzxv") == 1
 
 
+def test_chunks_of_many_texts_are_those_of_each():
+    rng = random.Random(7)
+    for _ in range(300):
+        texts = ["".join(rng.choice("ab.é\n\t\r   ") for _ in range(rng.randrange(12))) for _ in range(rng.randrange(1, 30))]
+        chunks, at = _chunks_of(texts)
+        assert [chunks[a:b].to_pylist() for a, b in zip(at, at[1:])] == [_CHUNKS.findall(t) for t in texts]
+
+
+def test_chunks_seen_again_cost_little(spark):
+    """Byte-level ids of a chunk that the texts hold again cost a bounded time, in microseconds where a spin takes one second."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy("doc_id").limit(600).collect()]
+    path = tokenizer_file("byte_bpe_50k.json")
+    (_, n), once = seconds(lambda: Encoder(path).encode_flat(texts))
+    _, often = seconds(lambda: Encoder(path).encode_flat(texts * 9))
+    assert (often - once) / (8 * n.sum()) * 1e6 < 1
+
+
 def test_classes_of_letters_agree():
     plain = [c for c in map(chr, range(0x3000)) if not uncommon(c)]
     assert pc.utf8_is_alpha(pa.array(plain)).to_pylist() == [c.isalpha() for c in plain]
