@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from docloom.config import Context
 from docloom.functions.text import REFUSALS, casefold, contains_any, is_small_talk
@@ -14,6 +17,8 @@ from docloom.functions.text import REFUSALS, casefold, contains_any, is_small_ta
 SEPARATOR = "\n\n---\n\n"
 CONTEXT = "query_id string, rendered string, included array<string>, omitted array<string>, duplicates array<string>, token_count int, truncated boolean"
 _WORD = re.compile(r"[A-Za-z0-9]+")
+#: Contexts are returned when they have so many characters together.
+MAX_CHARS = 8_000_000
 
 
 def render(chunk_id: str, rank: int, document_id: str, metadata: str, text: str, truncated: bool) -> str:
@@ -27,51 +32,74 @@ def assemble(results: DataFrame, config: Context = Context()) -> DataFrame:
     In the order of ranks, near copies of a chunk before are dropped; chunks are taken
     while the rendered whole fits; the first that doesn't is cut to the most words that
     do, if enough, and the rest is omitted. Each step depends on those before, so a
-    query's few candidates are handled together. White space separates tokens and the
-    blocks' joints, so counts of blocks add up and the cut is found by subtraction.
+    query's few candidates are handled together: they come sorted to one task, which
+    walks over any number of queries. White space separates tokens and the blocks'
+    joints, so counts of blocks add up and the cut is found by subtraction.
     """
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        rows = list(part.sort_values(["rank", "pre_rank", "chunk_id"]).itertuples())
-        unique, sets, texts, copies = [], [], set(), []
-        for r in rows:
-            norm = " ".join(r.text.casefold().split())
-            words = set(_WORD.findall(norm))
-            near = norm in texts or (words and any(len(words & s) >= config.near_duplicate_jaccard_threshold * len(words | s) for s in sets if s))
-            if near:
-                copies.append(r.chunk_id)
-            else:
-                unique.append(r)
-                sets.append(words)
-                texts.add(norm)
+    fields = ("query_id", "chunk_id", "document_id", "rank", "pre_rank", "text", "metadata")
+    names = [c.split()[0] for c in CONTEXT.split(", ")]
+    schema = to_arrow_schema(_parse_datatype_string(CONTEXT))
+
+    def one(query: str | None, found: list[tuple]) -> tuple:
+        if len(found) > 1:
+            found.sort(key=lambda r: [(r[i] is None, r[i]) for i in (2, 3, 0)])
+            unique, sets, texts, copies = [], [], set(), []
+            for r in found:
+                norm = " ".join(r[4].casefold().split())
+                words = set(_WORD.findall(norm))
+                near = norm in texts or (words and any(len(words & s) >= config.near_duplicate_jaccard_threshold * len(words | s) for s in sets if s))
+                if near:
+                    copies.append(r[0])
+                else:
+                    unique.append(r)
+                    sets.append(words)
+                    texts.add(norm)
+        else:
+            unique, copies = found, []
         blocks, included, omitted, used, cut = [], [], [], 0, False
-        for i, r in enumerate(unique):
-            make = lambda text, short: render(r.chunk_id, r.rank, r.document_id, r.metadata, text, short)  # noqa: B023, E731
+        for i, (chunk_id, document_id, rank, _, text, metadata) in enumerate(unique):
+            make = lambda text, short: render(chunk_id, rank, document_id, metadata, text, short)  # noqa: B023, E731
             joint = 1 if blocks else 0
-            block = make(r.text, False)
-            n = len(block.split())
+            words = text.split()
+            # the text lies between line ends, so its words and those around it don't touch
+            n = len(words) + len(make("", False).split())
             if used + joint + n <= config.max_context_tokens:
-                blocks.append(block)
-                included.append(r.chunk_id)
+                blocks.append(make(text, False))
+                included.append(chunk_id)
                 used += joint + n
                 continue
-            words = r.text.split()
             room = config.max_context_tokens - used - joint - len(make("", True).split())
             take = min(room, len(words))
             if len(words) >= config.min_truncated_chunk_tokens and take >= config.min_truncated_chunk_tokens:
                 block = make(" ".join(words[:take]), True)
                 blocks.append(block)
-                included.append(r.chunk_id)
+                included.append(chunk_id)
                 used += joint + len(block.split())
                 cut = True
             else:
-                omitted.append(r.chunk_id)
-            omitted += [x.chunk_id for x in unique[i + 1 :]]
+                omitted.append(chunk_id)
+            omitted += [x[0] for x in unique[i + 1 :]]
             break
-        return pd.DataFrame([(part["query_id"].iloc[0], SEPARATOR.join(blocks), included, omitted, copies, used, cut)], columns=[c.split()[0] for c in CONTEXT.split(", ")])
+        return query, SEPARATOR.join(blocks), included, omitted, copies, used, cut
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, found, out, size = None, [], [], 0
+        for batch in batches:
+            for q, *r in zip(*(c.to_pylist() for c in batch.columns)):
+                if found and q != query:
+                    out.append(one(query, found))
+                    found, size = [], size + len(out[-1][1])
+                    if size > MAX_CHARS:
+                        yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in out], schema)
+                        out, size = [], 0
+                query = q
+                found.append(tuple(r))
+        if found:
+            out.append(one(query, found))
+        yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in out], schema)
 
     rows = results.select(F.col("query_id").cast("string").alias("query_id"), F.col("chunk_id").cast("string").alias("chunk_id"), F.col("document_id").cast("string").alias("document_id"), "rank", "pre_rank", "text", "metadata")
-    return rows.groupBy("query_id").applyInPandas(one, CONTEXT)
+    return rows.select(*fields).repartition("query_id").sortWithinPartitions("query_id").mapInArrow(walk, CONTEXT)
 
 
 def is_refusal(answer: Column) -> Column:

@@ -2,13 +2,15 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.config import Chunking, Context
 from docloom.errors import IndexingError
-from docloom.operators import dense
+from docloom.operators import chunk, dense, generate
 
 
 def plan(df):
@@ -77,3 +79,54 @@ def test_dense_search_under_filters(spark):
     asked = q.withColumn("label", F.when(F.col("query_id") % 5 > 0, F.col("query_id") % 5))
     want = [x for i in range(1, 30) if i % 5 for x in brute([(c, angle(c)) for c in range(1, 200) if c % 5 == i % 5], [(i, angle(i))], 4)]
     assert sorted((r.query_id, r.chunk_id, r.rank) for r in dense.search(same, asked, 4, same="label").collect()) == sorted(want)
+
+
+def test_contexts_are_made_without_a_group_each(spark, monkeypatch):
+    """Queries of one and of many candidates side by side, in parts; no Python call for each query."""
+    rows = [(f"q{i}", f"c{j}", "d", j, j, f"text {i} of {j} " * (1 + i % 5), "{}") for i in range(300) for j in range(1 + i % 3)] + [(None, "c", "d", 1, 1, "alone", "{}")]
+    df = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "query_id string, chunk_id string, document_id string, rank int, pre_rank int, text string, metadata string").repartition(3)
+    monkeypatch.setattr(generate, "MAX_CHARS", 500)
+    got = generate.assemble(df, Context(max_context_tokens=10_000))
+    assert "FlatMapGroups" not in plan(got)
+    by = {r.query_id: r for r in got.collect()}
+    assert len(by) == got.count() == 301 and by[None].included == ["c"]
+    for i in range(300):
+        texts = [f"text {i} of {j} " * (1 + i % 5) for j in range(1 + i % 3)]
+        r = by[f"q{i}"]
+        assert r.included + r.duplicates == [f"c{j}" for j in range(len(texts))] and r.token_count == len(r.rendered.split()) and not r.omitted
+        assert r.rendered.startswith(generate.render("c0", 0, "d", "{}", texts[0], False))
+
+
+def brute_segments(segments, config):
+    out, before, held, used = [], None, [], 0
+    for s in segments:
+        n, v = len(s.split()), chunk.local_embedding(s)
+        if held:
+            length = np.linalg.norm(before) * np.linalg.norm(v)
+            alike = float(before @ v) / length if length else 0.0
+            if used + n > config.semantic_max_tokens or (alike < config.semantic_similarity_threshold and used >= config.semantic_min_tokens):
+                out.append((" ".join(held), used, len(held)))
+                held, used = [], 0
+        held, used, before = [*held, s], used + n, v
+    return out + [(" ".join(held), used, len(held))] * bool(held)
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.78])
+def test_semantic_chunks_by_brute_force(spark, monkeypatch, threshold):
+    """Documents of several units, sentences repeated so that likenesses meet the threshold; no Python call for each document."""
+    r, words = random.Random(5), "Fluß red blue sea is a of one two Tree".split()
+    texts = {f"d{i}": [" ".join(" ".join(r.choices(words, k=r.randint(1, 5))).capitalize() + "." for _ in range(r.randint(0, 40))) for _ in range(1 + i % 3)] for i in range(60)}
+    rows = [(d, j, t) for d, own in texts.items() for j, t in enumerate(own)]
+    units = spark.createDataFrame(r.sample(rows, len(rows)), "document_id string, ordinal int, text string").repartition(3)
+    config = Chunking("semantic", 512, 0, semantic_min_tokens=3, semantic_max_tokens=30, semantic_similarity_threshold=threshold)
+    monkeypatch.setattr(chunk, "MAX_SEGMENTS", 70)
+    out = chunk.semantic_chunks(units, config)
+    assert "FlatMapGroups" not in plan(out)
+    got = {}
+    for x in out.orderBy("document_id", "group").collect():
+        got.setdefault(x.document_id, []).append((x.text, x.token_count, x.segment_count))
+    split = lambda t: [s for s in re.split(r"(?<=[.!?])\s+(?=[A-Z0-9\[])", t) if s]
+    want = {d: brute_segments([s for t in own for s in split(t)], config) for d, own in texts.items()}
+    assert got == {d: x for d, x in want.items() if x}
+    own = chunk.semantic_chunks(units, config, embed=lambda s, dim: chunk.local_embedding(s, dim))
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, out.collect()))
