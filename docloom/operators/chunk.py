@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from docloom.config import DOMAINS, Chunking
 from docloom.functions import ids
 from docloom.functions.text import sentences, starts_legal_clause, whitespace_tokens
+from docloom.functions.vectors import WordBuckets
+
+#: Semantic chunking compares so many segments at once.
+MAX_SEGMENTS = 4000
 
 
 def windows(tokens: Column, size: int, overlap: int) -> Column:
@@ -108,37 +115,75 @@ def local_embedding(text: str, dim: int = 64) -> np.ndarray:
     return v / n if n else v
 
 
+def likeness(before: np.ndarray, v: np.ndarray) -> float:
+    length = np.linalg.norm(before) * np.linalg.norm(v)
+    return float(before @ v) / length if length else 0.0
+
+
+def likenesses(segments: list[str], words: list[list[str]], dim: int, embed, buckets: WordBuckets, border: float) -> list[float]:
+    """How like each segment is the one before it (the first: 0). Local embeddings are counted for many segments at once, each distinct word hashed once; likenesses next to border are computed again one by one, since the order of additions may matter there."""
+    if embed is not local_embedding:
+        vectors = [embed(s, dim) for s in segments]
+        return [0.0, *(likeness(a, b) for a, b in zip(vectors, vectors[1:]))]
+    out = [0.0]
+    for i in range(0, len(segments) - 1, MAX_SEGMENTS):
+        v = buckets.counts(words[i : i + MAX_SEGMENTS + 1])
+        n = np.sqrt((v * v).sum(1))
+        with np.errstate(all="ignore"):
+            some = np.where(n[1:] * n[:-1] > 0, (v[1:] * v[:-1]).sum(1) / (n[1:] * n[:-1]), 0.0)
+        for j in np.flatnonzero(np.abs(some - border) < 1e-9):
+            some[j] = likeness(embed(segments[i + j], dim), embed(segments[i + j + 1], dim))
+        out += some.tolist()
+    return out
+
+
 def semantic_chunks(units: DataFrame, config: Chunking, dim: int = 64, embed=local_embedding) -> DataFrame:
     """document_id, group, text, token_count, segment_count, oversized from units (document_id, ordinal, text).
 
     Sentences join the open group until its tokens would exceed the most, or, once it
     has the least, until a sentence is unlike the one before it. State runs along a
-    document, so documents are grouped; sentences are cut by the JVM.
+    document, so its units come in order to one task, which walks over any number of
+    documents and compares the sentences of many at once; sentences are cut by the JVM.
     """
-    rows = units.select("document_id", "ordinal", F.posexplode(sentences(F.col("text"))).alias("pos", "segment"))
+    rows = units.select("document_id", "ordinal", sentences(F.col("text")).alias("segments")).filter(F.size("segments") > 0)
     schema = "document_id string, group int, text string, token_count int, segment_count int, oversized boolean"
-
-    def cut(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["ordinal", "pos"])
-        out: list[list] = []
-        before, open_, used = None, [], 0
-        for s in part["segment"]:
-            n, v = len(s.split()), embed(s, dim)
-            if open_:
-                length = np.linalg.norm(before) * np.linalg.norm(v)
-                alike = float(before @ v) / length if length else 0.0
-                if used + n > config.semantic_max_tokens or (alike < config.semantic_similarity_threshold and used >= config.semantic_min_tokens):
-                    out.append([open_, used])
-                    open_, used = [], 0
-            open_.append(s)
-            used += n
-            before = v
-        if open_:
-            out.append([open_, used])
-        name = part["document_id"].iloc[0]
-        return pd.DataFrame([(name, k, " ".join(s), n, len(s), n > config.semantic_max_tokens and len(s) == 1) for k, (s, n) in enumerate(out)], columns=[c.split()[0] for c in schema.split(", ")])
-
-    return rows.groupBy("document_id").applyInPandas(cut, schema)
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    most, least, border = config.semantic_max_tokens, config.semantic_min_tokens, config.semantic_similarity_threshold
+
+    def cut(documents: list[tuple[str, list[str]]], buckets: WordBuckets) -> pa.RecordBatch:
+        segments = [s for _, own in documents for s in own]
+        words = [(s.casefold() if embed is local_embedding else s).split() for s in segments]
+        alike = likenesses(segments, words, dim, embed, buckets, border)
+        out: list[tuple] = []
+        i = 0
+        for name, own in documents:
+            group, start, used = 0, i, 0
+            for j in range(i, i + len(own)):
+                n = len(words[j])
+                if j > start and (used + n > most or (alike[j] < border and used >= least)):
+                    out.append((name, group, " ".join(segments[start:j]), used, j - start, used > most and j - start == 1))
+                    group, start, used = group + 1, j, 0
+                used += n
+            i += len(own)
+            out.append((name, group, " ".join(segments[start:i]), used, i - start, used > most and i - start == 1))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets, held, n = WordBuckets(dim), [], 0
+        for batch in batches:
+            for name, segments in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and held[-1][0] == name:
+                    held[-1][1].extend(segments)
+                else:
+                    if n >= MAX_SEGMENTS:
+                        yield cut(held, buckets)
+                        held, n = [], 0
+                    held.append((name, segments))
+                n += len(segments)
+        if held:
+            yield cut(held, buckets)
+
+    return rows.repartition("document_id").sortWithinPartitions("document_id", "ordinal").select("document_id", "segments").mapInArrow(walk, schema)
 
 
 def with_ids(chunks: DataFrame, order: list[str], config: Chunking) -> DataFrame:
