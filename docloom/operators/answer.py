@@ -13,6 +13,7 @@ from docloom.errors import GenerationError
 from docloom.functions.text import is_small_talk
 from docloom.operators import generate, hybrid
 from docloom.operators.corpus import require_none
+from docloom.operators.sparse import beside
 from docloom.stage import staged
 
 #: The form of a generated answer.
@@ -86,11 +87,11 @@ class AnswerService:
     def retrieved(self, queries: DataFrame) -> DataFrame:
         asked = queries.filter(~is_small_talk(F.col("question"))) if self.skip_small_talk else queries
         found = self.search(asked).select("query_id", "chunk_id", "rank", "score").join(asked.select("query_id", "question"), "query_id")
-        return hybrid.rerank(found.join(self.chunks, "chunk_id"), self.top_n, self.weights)
+        return hybrid.rerank(beside(found, self.chunks, "chunk_id"), self.top_n, self.weights)
 
     def answers(self, queries: DataFrame) -> DataFrame:
         """query_id, question, retrieval_required, answer, cited_chunk_ids, insufficient_context, included (chunk_ids of the context), token_count and errors of each query."""
-        ranked = self.retrieved(queries)
+        ranked = staged(self.retrieved(queries))
         context = generate.assemble(ranked, self.context).select(F.col("query_id").alias("_q"), "rendered", "included", "token_count")
         rows = queries.withColumn("_q", F.col("query_id").cast("string")).join(context, "_q", "left").drop("_q")
         none = F.array().cast("array<string>")

@@ -45,6 +45,15 @@ def filtered_hits(hits: DataFrame, chunks: DataFrame, queries: DataFrame) -> Dat
     return hits.join(q, "query_id").join(c, "chunk_id").filter(allowed(F.col("_chunk"), F.col("_query"))).select(*hits.columns)
 
 
+def by_terms(index: sparse.SparseIndex, chunks: DataFrame, queries: DataFrame, k: int, config: Sparse = Sparse()) -> DataFrame:
+    """sparse.search() for queries with or without FILTERS; an index without attributes has them joined to its hits."""
+    if not any(c in queries.columns for c in FILTERS):
+        return sparse.search(index, queries, k, config)
+    if index.packed is None or "attributes" not in index.packed.columns:
+        return sparse.top_k(filtered_hits(sparse.scores(index, queries, config), chunks, queries), k)
+    return sparse.search(index, with_filters(queries).select("query_id", "question", F.struct(*FILTERS).alias("filters")), k, config, allowed)
+
+
 def filtered_counts(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id and n, the chunks that pass its filters: chunks are counted by attributes first, so a query meets sums, not chunks."""
     q = with_filters(queries)

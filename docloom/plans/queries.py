@@ -14,6 +14,7 @@ from docloom.plans.adapt import SQL as TABLES
 from docloom.plans.adapt import corpus as corpus_table
 from docloom.plans.adapt import domain, filtered_questions, questions, read
 from docloom.sources import loaders
+from docloom.stage import staged
 
 PLUS = Sparse(variant="bm25_plus")
 
@@ -55,7 +56,7 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf_dir: str, config: Sparse = Sparse(), k: int = 10) -> DataFrame:
-    return sparse.top_k(sparse.scores(sparse.build(corpus_table(spark, sf_dir), config), questions(spark, sf_dir), config), k)
+    return sparse.search(sparse.build(corpus_table(spark, sf_dir), config), questions(spark, sf_dir), k, config)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,13 +69,12 @@ def bm25_plus_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, q = corpus_table(spark, sf_dir), filtered_questions(spark, sf_dir)
-    scored = retrieve.filtered_hits(sparse.scores(sparse.build(c), q), c, q)
-    return sparse.top_k(scored, 10).withColumn("score", F.round("score", 6))
+    return retrieve.by_terms(sparse.build(c, attributes=retrieve.ATTRIBUTES), c, q, 10).withColumn("score", F.round("score", 6))
 
 
 def bm25_matched_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, q = sparse.build(corpus_table(spark, sf_dir)), questions(spark, sf_dir)
-    out = sparse.matched_terms(index, q, sparse.top_k(sparse.scores(index, q), 5))
+    out = sparse.matched_terms(index, q, sparse.search(index, q, 5))
     return out.select("query_id", "chunk_id", "rank", F.array_join("matched_terms", " ").alias("terms"), F.array_join(F.col("term_frequencies").cast("array<string>"), " ").alias("frequencies"))
 
 
@@ -115,7 +115,7 @@ def dense_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, q = sparse.build(corpus_table(spark, sf_dir)), questions(spark, sf_dir)  # the variants differ in scores, not in postings
-    fused = hybrid.rrf(*(sparse.top_k(sparse.scores(index, q, c), 20) for c in (Sparse(), PLUS)))
+    fused = hybrid.rrf(*sparse.searches(index, q, [(20, Sparse()), (20, PLUS)]))
     return fused.select("query_id", "chunk_id", "dense_rank", "sparse_rank", F.round("score", 9).alias("score"), "rank")
 
 
@@ -130,7 +130,7 @@ def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     text = corpus_table(spark, sf_dir).select("chunk_id", "document_id", "text")
-    return _bm25(spark, sf_dir, k=k).join(questions(spark, sf_dir), "query_id").join(text, "chunk_id")
+    return sparse.beside(_bm25(spark, sf_dir, k=k).join(questions(spark, sf_dir), "query_id"), text, "chunk_id")
 
 
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,7 +344,7 @@ def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = hybrid.rerank(_candidates(spark, sf_dir), 5)
+    r = staged(hybrid.rerank(_candidates(spark, sf_dir), 5))
     q = questions(spark, sf_dir)
     a = generate.deterministic_answers(q, r.select("query_id", "chunk_id", "rank", "text"))
     allowed = r.groupBy("query_id").agg(F.collect_set(F.col("chunk_id").cast("string")).alias("allowed"))

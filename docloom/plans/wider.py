@@ -363,7 +363,7 @@ def answer_service(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions through the whole service with its deterministic generator; the context has room for any first chunk."""
     texts = corpus_table(spark, sf_dir).select("chunk_id", "document_id", "text", F.to_json(F.struct("document_id", "domain")).alias("metadata"))
     index = sparse.build(corpus_table(spark, sf_dir))
-    service = answer.AnswerService(lambda x: sparse.top_k(sparse.scores(index, x), 20), texts, context=Context(max_context_tokens=1_000_000))
+    service = answer.AnswerService(lambda x: sparse.search(index, x, 20), texts, context=Context(max_context_tokens=1_000_000))
     out = service.answers(questions(spark, sf_dir))
     return out.select("query_id", F.sha2(F.col("answer").cast("binary"), 256).alias("answer_sha256"), F.array_join("cited_chunk_ids", ",").alias("cited"), "insufficient_context", F.array_join("errors", ",").alias("errors"))
 
