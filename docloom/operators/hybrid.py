@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from docloom.config import Hybrid
 from docloom.functions.text import REFERENCE, RELATION_CUES, casefold, contains_any, squeeze, whitespace_tokens
+from docloom.operators.sparse import beside
+from docloom.stage import staged
 
 
 def best_of_branch(branch: DataFrame) -> DataFrame:
@@ -80,8 +82,8 @@ def multi_hop(queries: DataFrame, search: Callable[[DataFrame], DataFrame], text
     with the filters of the query they come from, and (query_id, hop) as their query_id.
     """
     columns = ["query_id", "hop", "rank", "chunk_id", "score"]
-    first = search(queries)
-    derived = derived_queries(first.join(texts.select("chunk_id", "text"), "chunk_id"), queries, most, mode).join(queries.drop("question"), "query_id")
+    first = staged(search(queries))
+    derived = staged(derived_queries(beside(first, texts.select("chunk_id", "text"), "chunk_id"), queries, most, mode).join(queries.drop("question"), "query_id"))
     later = search(derived.withColumn("query_id", F.struct("query_id", "hop")).drop("hop"))
     later = later.withColumns({"hop": F.col("query_id.hop"), "query_id": F.col("query_id.query_id")})
     return merge_hops(first.withColumn("hop", F.lit(1)).select(columns).unionByName(later.select(columns)), config)

@@ -331,7 +331,7 @@ def multi_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five chunks a question and derived query by BM25, merged. The texts name no sections, so each is given one to refer to, and no question needs a cue."""
     texts = corpus_table(spark, sf_dir).withColumn("text", F.concat(F.lit("see Section "), F.col("chunk_id").cast("string"), F.lit(" ."), "text"))
     index = sparse.build(texts)
-    return hybrid.multi_hop(questions(spark, sf_dir), lambda q: sparse.top_k(sparse.scores(index, q), 5), texts, mode="always")
+    return hybrid.multi_hop(questions(spark, sf_dir), lambda q: sparse.search(index, q, 5), texts, mode="always")
 
 
 def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
