@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from docloom.errors import EvaluationError
 from docloom.functions.text import judge_tokens
 from docloom.operators.corpus import require_none
 
+#: At most so many beginnings of questions make one automaton.
+MAX_BEGINNINGS = 2000
 METRICS = ("context_precision", "context_recall", "faithfulness", "answer_relevancy")
 
 
@@ -26,6 +32,25 @@ def context_recall(retrieved: Column, support: Column) -> Column:
     return F.when(F.size(s) == 0, 1.0).otherwise(F.size(F.array_intersect(r, s)) / F.nullif(F.size(s), F.lit(0)))
 
 
+def holding(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, chunk_id: chunks (chunk_id, text) that contain a query's question.
+
+    Texts that hold the beginning of any question are found in one pass by an automaton
+    of all beginnings; only these are held against each question.
+    """
+    asked, texts = queries.select("query_id", "question").filter("question is not null"), chunks.select("chunk_id", "text")
+    found = asked.select(F.substring("question", 1, 32).alias("b")).distinct().limit(MAX_BEGINNINGS + 1).collect()
+    if len(found) <= MAX_BEGINNINGS:
+        pattern = "|".join("".join(c if c.isalnum() and c.isascii() else f"\\x{{{ord(c):x}}}" for c in r.b) for r in found)
+
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pc.match_substring_regex(batch.column(1), pattern))
+
+        texts = texts.mapInArrow(some, texts.schema)
+    return texts.join(F.broadcast(asked), F.contains(F.col("text"), F.col("question"))).select("query_id", "chunk_id")
+
+
 def claims(answer: Column, citation_claims: Column, insufficient: Column) -> Column:
     """The citations' claims; without any, the answer's sentences; of a refusal none."""
     clean = lambda a: F.array_distinct(F.filter(F.transform(a, lambda c: F.trim(c)), lambda c: c != ""))

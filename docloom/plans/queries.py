@@ -152,21 +152,26 @@ def turn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.round(jaccard(comparison_tokens(F.col("text"), False), comparison_tokens(F.col("next_text"), False)), 6).alias("similarity"))
 
 
-def _observed(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
-    """benchmark items with retrieved and supporting chunks (those that contain the passage)."""
-    got = _bm25(spark, sf_dir, k=k).groupBy("query_id").agg(F.sort_array(F.collect_list("chunk_id")).alias("retrieved"))
-    q = questions(spark, sf_dir)
-    # few benchmark items against all texts, where the texts lie
-    held = corpus_table(spark, sf_dir).join(q, F.contains(F.col("text"), F.col("question"))).groupBy("query_id").agg(F.collect_set("chunk_id").alias("support"))
+def _observed(spark: SparkSession, sf_dir: str, most: tuple[int, ...] = (20,)) -> list[DataFrame]:
+    """benchmark items with retrieved and supporting chunks (those that contain the passage), for each number of chunks retrieved; searched once."""
+    found, q = staged(_bm25(spark, sf_dir, k=max(most))), questions(spark, sf_dir)
+    held = staged(evaluate.holding(corpus_table(spark, sf_dir), q).groupBy("query_id").agg(F.collect_set("chunk_id").alias("support")))
     none = F.array().cast("array<bigint>")
-    rows = q.join(got, "query_id", "left").join(held, "query_id", "left")
-    return rows.select("query_id", domain("query_id").alias("domain"), F.coalesce("retrieved", none).cast("array<string>").alias("retrieved"), F.coalesce("support", none).cast("array<string>").alias("support"))
+    out = []
+    for k in most:
+        got = found.filter(F.col("rank") <= k).groupBy("query_id").agg(F.sort_array(F.collect_list("chunk_id")).alias("retrieved"))
+        rows = q.join(got, "query_id", "left").join(held, "query_id", "left")
+        out.append(rows.select("query_id", domain("query_id").alias("domain"), F.coalesce("retrieved", none).cast("array<string>").alias("retrieved"), F.coalesce("support", none).cast("array<string>").alias("support")))
+    return out
+
+
+def _retrievals(spark: SparkSession, sf_dir: str, most: tuple[int, ...]) -> list[DataFrame]:
+    scores = (evaluate.context_precision(F.col("retrieved"), F.col("support")).alias("context_precision"), evaluate.context_recall(F.col("retrieved"), F.col("support")).alias("context_recall"))
+    return [rows.select(F.col("query_id").alias("example_id"), "domain", *scores) for rows in _observed(spark, sf_dir, most)]
 
 
 def _retrieval(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
-    return _observed(spark, sf_dir, k).select(
-        F.col("query_id").alias("example_id"), "domain", evaluate.context_precision(F.col("retrieved"), F.col("support")).alias("context_precision"), evaluate.context_recall(F.col("retrieved"), F.col("support")).alias("context_recall")
-    )
+    return _retrievals(spark, sf_dir, (k,))[0]
 
 
 def context_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +226,7 @@ THRESHOLDS = [("context_precision", None, 0.0, None, 1), ("context_precision", "
 
 def regression_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.createDataFrame(THRESHOLDS, "metric string, domain string, max_drop double, min_score double, min_samples int")
-    base, cand = (evaluate.metric_slices(_long(_retrieval(spark, sf_dir, k))) for k in (20, 5))
+    base, cand = (evaluate.metric_slices(_long(r)) for r in _retrievals(spark, sf_dir, (20, 5)))
     return evaluate.compare_slices(base, cand, t).withColumn("delta", F.round("delta", 6))
 
 
