@@ -96,23 +96,24 @@ class HybridSearch:
 
     @classmethod
     def build(cls, chunks: DataFrame, rules: DataFrame | None = None, config: Hybrid = Hybrid(), terms: Sparse = Sparse()) -> HybridSearch:
-        return cls(chunks, sparse.build(chunks, terms), vectors.dense(vectors.hash_embedding(chunks, "chunk_id", "text"), "chunk_id"), rules, config, terms)
+        attributes = ATTRIBUTES if all(c in chunks.columns for c in ATTRIBUTES) else ()
+        index = sparse.build(chunks, terms, attributes=attributes)
+        rows = chunks.withColumn("attributes", F.struct(*attributes)) if attributes else chunks
+        return cls(chunks, index, vectors.hash_vectors(rows, "chunk_id", "text", keep=("attributes",) if attributes else ()), rules, config, terms)
 
     def embed(self, queries: DataFrame) -> DataFrame:
-        return vectors.dense(vectors.hash_embedding(queries, "query_id", "question"), "query_id")
+        return vectors.hash_vectors(queries, "query_id", "question")
 
     def by_terms(self, queries: DataFrame) -> DataFrame:
-        hits = sparse.scores(self.index, queries, self.terms)
-        if any(c in queries.columns for c in FILTERS):
-            hits = filtered_hits(hits, self.chunks, queries)
-        return sparse.top_k(hits, self.config.branch_top_k)
+        return by_terms(self.index, self.chunks, queries, self.config.branch_top_k, self.terms)
 
     def by_vectors(self, queries: DataFrame) -> DataFrame:
         asked, stored = self.embed(queries.select("query_id", "question")), self.vectors
         narrowed = any(c in queries.columns for c in FILTERS)
         if narrowed:
             asked = asked.join(with_filters(queries).select("query_id", F.struct(*FILTERS).alias("filters")), "query_id")
-            stored = stored.join(self.chunks.select("chunk_id", F.struct(*ATTRIBUTES).alias("attributes")), "chunk_id")
+            if "attributes" not in stored.columns:
+                stored = stored.join(self.chunks.select("chunk_id", F.struct(*ATTRIBUTES).alias("attributes")), "chunk_id")
         return dense.search(stored, asked, self.config.branch_top_k, where=allowed if narrowed else None)
 
     def search(self, queries: DataFrame) -> DataFrame:
