@@ -232,8 +232,8 @@ def regression_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def domain_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = None
-    for k in (5, 20):
-        m = _long(_retrieval(spark, sf_dir, k)).withColumn("config_id", F.lit(f"top{k}"))
+    for k, r in zip((5, 20), _retrievals(spark, sf_dir, (5, 20))):
+        m = _long(r).withColumn("config_id", F.lit(f"top{k}"))
         parts = m if parts is None else parts.unionByName(m)
     return evaluate.domain_winners(parts).withColumn("composite", F.round("composite", 6))
 
