@@ -139,8 +139,8 @@ def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hop_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = _bm25(spark, sf_dir, k=20).withColumn("hop", F.lit(1))
-    second = _bm25(spark, sf_dir, PLUS, 30).withColumn("hop", F.lit(2))
+    index, q = sparse.build(corpus_table(spark, sf_dir)), questions(spark, sf_dir)  # the variants differ in scores, not in postings
+    first, second = (found.withColumn("hop", F.lit(hop)) for hop, found in enumerate(sparse.searches(index, q, [(20, Sparse()), (30, PLUS)]), 1))
     out = hybrid.merge_hops(first.unionByName(second), Hybrid(max_merged=25))
     return out.select("query_id", "chunk_id", "merged_rank", "hop", "rank", F.array_join(F.col("hops").cast("array<string>"), ",").alias("hops"))
 
